@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "findings")
+MODULES = ("pages", "findings", "joins", "ordered")
 
 
 def load_all() -> None:

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import css
 from folioscan.functions import html as H
-from folioscan.functions import text as T
 from folioscan.functions import values as V
-from folioscan.operators import aggregates as A
 from folioscan.operators import elements as E
 from folioscan.operators import findings as FD
 from folioscan.operators.gates import manifest_diff
-from folioscan.plans.pages import DECL, REQUEST, ruled
+from folioscan.plans.pages import REQUEST, ruled
 from folioscan.plans.registry import query, table
 from folioscan.sources.manifest import MANIFEST, manifest
 from folioscan.sources.sinks import result_json
@@ -519,5 +517,3 @@ def sniff_pages(spark, sf):
 def sniff_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", H.sniff(F.encode("text", "UTF-8")).alias("kind"))
 
-
-__all__ = ["A", "DECL", "T"]
