@@ -42,141 +42,122 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     )
 
 
-def matched_elements(tags: DataFrame, key: str = "page_id", names: tuple[str, ...] | None = None) -> DataFrame:
-    """Opening tags with the index of the closing tag that belongs to each (null where none does).
-
-    Per page and tag name the running count of opens minus closes gives the level; the lowest
-    count so far is taken off, so that stray closing tags do not shift the levels. Within one level
-    opens and closes alternate, so the next row of the level is the partner.
+def element_spans(
+    tags: DataFrame,
+    key: str = "page_id",
+    names: tuple[str, ...] | None = None,
+    ends: tuple[str, ...] = (),
+    parents: tuple[str, ...] = (),
+) -> DataFrame:
+    """Opening tags with their end and their parent: adds ``close_idx``, ``depth`` and ``parent_idx``.
+
+    ``tags`` holds ``key, idx, tag, kind`` and more columns. ``ends`` names columns to take from the closing tag
+    (as ``end_<name>``), ``parents`` columns to take from the parent (as ``parent_<name>``).
+
+    An opening tag ends at the closing tag of its name at the same level. One without such a tag ends
+    with the innermost closed element around it, else with the page (null). All steps are windows
+    over the page in one partitioning, so the tags are shuffled once.
     """
     work = tags.filter(F.col("kind").isin("open", "close"))
     if names:
         work = work.filter(F.col("tag").isin(*names))
-    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
-    order = W.partitionBy(key, "tag").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = work.withColumn("cum", F.sum(step).over(order))
-    counted = counted.withColumn("low", F.least(F.lit(0), F.min("cum").over(order)))
+    work = work.repartition(key)
     is_open = F.col("kind") == "open"
-    # A closing tag that sets a new low had nothing to close.
-    stray = ~is_open & (F.col("cum") == F.col("low")) & (F.col("cum") < F.coalesce(F.lag("low").over(W.partitionBy(key, "tag").orderBy("idx")), F.lit(0)))
-    level = F.col("cum") - F.col("low") + F.when(is_open, 0).otherwise(1)
-    levelled = counted.withColumn("stray", stray).filter(~F.col("stray")).withColumn("lvl", level)
-    per_level = W.partitionBy(key, "tag", "lvl").orderBy("idx")
-    partner = F.when(F.lead("kind").over(per_level) == "close", F.lead("idx").over(per_level))
-    return (
-        levelled.withColumn("close_idx", partner)
-        .filter(F.col("kind") == "open")
-        .drop("cum", "low", "stray", "lvl", "kind")
-    )
-
 
-def nested(spans: DataFrame, key: str = "page_id") -> DataFrame:
-    """Add the depth and the nearest enclosing span of spans ``idx..close_idx``.
-
-    A span without an end takes the end of the innermost ended span around it, else the end of the
-    page. The depth counts the spans that are open; the parent of a span at depth d is the latest span
-    opened at depth d - 1, found in one pass per page and depth.
-    """
-    end_of_page = F.lit(2**31 - 1)
-    order = W.partitionBy(key).orderBy("at", "delta").rowsBetween(W.unboundedPreceding, W.currentRow)
-
-    def with_depth(df: DataFrame) -> DataFrame:
-        events = df.select(key, F.col("idx").alias("at"), F.lit(1).alias("delta"), "idx").unionByName(
-            df.select(key, F.col("close_idx").alias("at"), F.lit(-1).alias("delta"), "idx")
-        )
-        return events.withColumn("depth", F.sum("delta").over(order))
-
-    ended = spans.filter(F.col("close_idx").isNotNull())
-    around = ended.select(key, F.col("idx").alias("at"), F.lit(1).alias("delta"), "close_idx")
-    around = around.unionByName(ended.select(key, F.col("close_idx").alias("at"), F.lit(-1).alias("delta"), "close_idx"))
-    open_ended = spans.filter(F.col("close_idx").isNull()).select(
-        key, F.col("idx").alias("at"), F.lit(0).alias("delta"), F.lit(None).cast("int").alias("close_idx")
-    )
-    # The innermost ended span around an open one is the first later end whose depth after it drops
-    # below the depth at the open one; the earliest such end is found by depth.
-    marks = around.unionByName(open_ended).withColumn("depth", F.sum("delta").over(order))
-    want = F.when(F.col("delta") == 0, F.col("depth") - 1).when(F.col("delta") == -1, F.col("depth"))
-    back = W.partitionBy(key, "want").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
-    ends = (
-        marks.filter(F.col("delta") <= 0)
-        .withColumn("want", want)
-        .withColumn("limit", F.last(F.when(F.col("delta") == -1, F.col("at")), ignorenulls=True).over(back))
-        .filter(F.col("delta") == 0)
-        .select(key, F.col("at").alias("idx"), F.coalesce("limit", end_of_page).alias("limit"))
+    # Level per name: opens minus closes, less the lowest count so far, so that stray closing tags shift nothing.
+    by_tag = W.partitionBy(key, "tag").orderBy("idx")
+    upto = by_tag.rowsBetween(W.unboundedPreceding, W.currentRow)
+    work = work.withColumn("__cum", F.sum(F.when(is_open, 1).otherwise(-1)).over(upto))
+    work = work.withColumn("__low", F.least(F.lit(0), F.min("__cum").over(upto)))
+    work = work.withColumn("__was", F.coalesce(F.lag("__low").over(by_tag), F.lit(0)))
+    work = work.filter(is_open | (F.col("__low") == F.col("__was")))
+    work = work.withColumn("__lvl", F.col("__cum") - F.col("__low") + F.when(is_open, 0).otherwise(1))
+    by_level = W.partitionBy(key, "tag", "__lvl").orderBy("idx")
+    end = F.struct(F.col("idx").alias("close_idx"), *[F.col(c).alias(f"end_{c}") for c in ends])
+    partner = F.when(F.lead("kind").over(by_level) == "close", F.lead(end).over(by_level))
+    work = work.withColumn("__end", F.when(is_open, partner))
+
+    # Depth among the closed elements gives each tag without an end the innermost element around it.
+    loose = is_open & F.col("__end").isNull()
+    in_page = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = F.when(loose, 0).when(is_open, 1).otherwise(-1)
+    work = work.withColumn("__label", F.sum(step).over(in_page))
+    around = W.partitionBy(key, "__label").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    work = work.withColumn("__around", F.last(F.when(is_open, F.col("__end")), ignorenulls=True).over(around))
+    work = work.withColumn("__end", F.when(loose & (F.col("__label") > 0), F.col("__around")).otherwise(F.col("__end")))
+
+    # Events: an element opens, and closes at its own closing tag or, if it has none, with the element around it.
+    virtual = F.struct(F.coalesce("__end.close_idx", F.lit(2**31 - 1)).alias("at"), F.lit(-2).alias("delta"))
+    opening = F.struct(F.col("idx").alias("at"), F.lit(1).alias("delta"))
+    closing = F.struct(F.col("idx").alias("at"), F.lit(-1).alias("delta"))
+    events = F.when(loose, F.array(opening, virtual)).when(is_open, F.array(opening)).otherwise(F.array(closing))
+    work = work.withColumn("__loose_events", events).withColumn("__e", F.explode("__loose_events")).drop("__loose_events")
+    in_order = W.partitionBy(key).orderBy("__e.at", "__e.delta")
+    running = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    work = work.withColumn("depth", F.sum(F.signum("__e.delta").cast("int")).over(running))
+    above = F.struct(F.col("idx").alias("idx"), *[F.col(c) for c in parents])
+    work = work.withColumn("__prev", F.lag(F.when(F.col("__e.delta") == 1, above)).over(in_order))
+    opens = work.filter(F.col("__e.delta") == 1)
+
+    # The first child of an element follows its opening tag; later children take over what the first one found.
+    by_depth = W.partitionBy(key, "depth").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    opens = opens.withColumn("__parent", F.last("__prev", ignorenulls=True).over(by_depth))
+    return opens.select(
+        *tags.columns,
+        "__end.close_idx",
+        *[f"__end.end_{c}" for c in ends],
+        "depth",
+        F.col("__parent.idx").alias("parent_idx"),
+        *[F.col(f"__parent.{c}").alias(f"parent_{c}") for c in parents],
     )
-    full = (
-        spans.join(ends, [key, "idx"], "left")
-        .withColumn("close_idx", F.coalesce("close_idx", F.col("limit")))
-        .drop("limit")
-    )
-    depths = with_depth(full).filter(F.col("delta") == 1).select(key, "idx", "depth")
-    seek = depths.select(key, "idx", F.col("depth").alias("lvl"), F.col("idx").alias("opened")).unionByName(
-        depths.select(key, "idx", (F.col("depth") - 1).alias("lvl"), F.lit(None).cast("int").alias("opened"))
-    )
-    per_level = W.partitionBy(key, "lvl").orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    parents = (
-        seek.withColumn("parent_idx", F.last("opened", ignorenulls=True).over(per_level))
-        .filter(F.col("opened").isNull())
-        .select(key, "idx", (F.col("lvl") + 1).alias("depth"), "parent_idx")
-    )
-    return full.join(parents, [key, "idx"])
 
 
 def landmark_census(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Landmarks of each page: ``key, idx, tag, text, owner``.
 
     ``idx`` numbers the landmarks of the page, ``owner`` is the number of the nearest landmark
-    around it or -1. The text is cut out of the page text by offsets.
+    around it or -1. The text is cut out of the page text by offsets; pages without landmarks leave at the scan.
     """
-    parts = tokens(pages, key, html)
+    pattern = rf"(?i)<(?:{'|'.join(LANDMARKS)})\b"
+    marked = pages.filter(F.col(html).rlike(pattern))
+    parts = tokens(marked, key, html).repartition(key)
     size = F.when(F.col("kind") == "text", F.length(normalize_text(H.decode_entities(F.col("token"))))).otherwise(0)
-    upto = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # ``owner`` and the offsets need the tags only, so the text runs are reduced to their length here.
-    placed = parts.withColumn("offset", F.sum(size).over(upto)).filter(F.col("tag").isin(*LANDMARKS))
-    spans = nested(matched_elements(placed.select(key, "idx", "kind", "tag", "offset"), key), key)
-    ends = placed.filter(F.col("kind") == "close").select(key, F.col("idx").alias("close_idx"), F.col("offset").alias("end"))
-    numbered = (
-        spans.join(ends, [key, "close_idx"], "left")
-        .withColumn("no", F.row_number().over(W.partitionBy(key).orderBy("idx")) - 1)
+    order = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = F.col("tag").isin(*LANDMARKS) & (F.col("kind") == "open")
+    placed = (
+        parts.select(key, "idx", "kind", "tag", size.alias("size"))
+        .withColumn("offset", F.sum("size").over(order))
+        .withColumn("no", F.sum(F.coalesce(counted, F.lit(False)).cast("int")).over(order) - 1)
+        .drop("size")
     )
-    owners = numbered.select(key, F.col("idx").alias("parent_idx"), F.col("no").alias("owner"))
-    whole = pages.select(key, H.landmark_text(F.col(html)).alias("whole"))
-    size_of = F.coalesce("end", F.length("whole")) - F.col("offset")
-    return (
-        numbered.join(owners, [key, "parent_idx"], "left")
-        .join(whole, key)
-        .select(
-            key,
-            F.col("no").alias("idx"),
-            "tag",
-            F.substr(F.col("whole"), F.col("offset") + 1, size_of).alias("text"),
-            F.coalesce("owner", F.lit(-1)).alias("owner"),
-        )
+    spans = element_spans(placed, key, LANDMARKS, ends=("offset",), parents=("no",))
+    whole = marked.select(key, H.landmark_text(F.col(html)).alias("whole"))
+    length = F.coalesce("end_offset", F.length("whole")) - F.col("offset")
+    return spans.join(whole, key).select(
+        key,
+        F.col("no").alias("idx"),
+        "tag",
+        F.substr(F.col("whole"), F.col("offset") + 1, length).alias("text"),
+        F.coalesce("parent_no", F.lit(-1)).alias("owner"),
     )
 
 
 def figure_audit(tags: DataFrame, key: str = "page_id") -> DataFrame:
     """Figures with neither a caption nor a described image inside: ``key, idx``."""
     described = (F.col("tag") == "img") & (trimmed(F.coalesce(H.attr(F.col("token"), "alt"), F.lit(""))) != "")
-    counts = (F.col("kind") != "close") & ((F.col("tag") == "figcaption") | described)
-    upto = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    wanted = tags.filter(F.col("tag").isin("figure", "figcaption", "img"))
-    marked = wanted.withColumn("named", F.sum(counts.cast("int")).over(upto))
-    spans = nested(matched_elements(marked, key, ("figure",)), key)
-    ends = marked.select(key, F.col("idx").alias("close_idx"), F.col("named").alias("named_end"))
-    totals = marked.groupBy(key).agg(F.max("named").alias("named_all"))
-    return (
-        spans.join(ends, [key, "close_idx"], "left")
-        .join(totals, key)
-        .filter(F.coalesce("named_end", "named_all") - F.col("named") == 0)
-        .select(key, "idx")
-    )
+    named = (F.col("kind") != "close") & ((F.col("tag") == "figcaption") | described)
+    order = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    everything = W.partitionBy(key)
+    wanted = tags.filter(F.col("tag").isin("figure", "figcaption", "img")).repartition(key)
+    marked = wanted.withColumn("named", F.sum(named.cast("int")).over(order))
+    marked = marked.withColumn("all_named", F.max("named").over(everything))
+    spans = element_spans(marked, key, ("figure",), ends=("named",))
+    return spans.filter(F.coalesce("end_named", "all_named") == F.col("named")).select(key, "idx")
 
 
 def element_tree(tags: DataFrame, key: str = "page_id", names: tuple[str, ...] | None = None) -> DataFrame:
     """Parent of every opening tag: ``key, idx, tag, depth, parent_idx`` (null parent at the top)."""
-    work = tags if names is None else tags.filter(F.col("tag").isin(*names))
-    return nested(matched_elements(work, key), key).select(key, "idx", "tag", "depth", "parent_idx")
+    return element_spans(tags.select(key, "idx", "tag", "kind"), key, names).select(key, "idx", "tag", "depth", "parent_idx")
 
 
 def attribute(name: str, token: Column | None = None) -> Column:

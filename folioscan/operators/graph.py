@@ -8,6 +8,7 @@ improves. Only a yes-or-no answer per round comes to the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import html as H
@@ -29,8 +30,8 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int = 64, doc: str
         F.col(doc).alias("__doc"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("pos").cast("int").alias("__pos")
     )
     first = F.min(F.struct(F.array(F.col("pos").cast("int")).alias("path"), F.array(F.col("node")).alias("trail")))
-    best = cut(roots.groupBy(doc, "node").agg(first.alias("b")))
-    frontier = best
+    frontier = cut(roots.groupBy(doc, "node").agg(first.alias("b")))
+    layers = frontier
     for _ in range(max_depth):
         on = (F.col(doc) == F.col("__doc")) & (F.col("node") == F.col("__src"))
         step = F.struct(
@@ -44,16 +45,13 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int = 64, doc: str
             .groupBy(doc, "node")
             .agg(F.min("c").alias("c"))
         )
-        better = F.col("c").isNotNull() & (F.col("b").isNull() | (F.col("c.path") < F.col("b.path")))
-        merged = cut(
-            best.join(reached, [doc, "node"], "full_outer").select(
-                doc, "node", F.when(better, F.col("c")).otherwise(F.col("b")).alias("b"), better.alias("moved")
-            )
-        )
-        frontier = merged.filter("moved").drop("moved")
-        best = merged.drop("moved")
+        known = layers.groupBy(doc, "node").agg(F.min("b.path").alias("known"))
+        better = F.col("known").isNull() | (F.col("c.path") < F.col("known"))
+        frontier = cut(reached.join(known, [doc, "node"], "left").filter(better).select(doc, "node", F.col("c").alias("b")))
         if frontier.isEmpty():
             break
+        layers = layers.unionByName(frontier)
+    best = layers.groupBy(doc, "node").agg(F.min("b").alias("b"))
     return best.select(doc, "node", "b.path", "b.trail", (F.size("b.path") - 1).alias("depth"))
 
 
@@ -62,8 +60,6 @@ def preorder(walk: DataFrame, doc: str = "doc_id", name: str = "rank") -> DataFr
 
     The positions of one document are numbered within it; a document's nodes come from one file.
     """
-    from pyspark.sql import Window as W
-
     return walk.withColumn(name, F.row_number().over(W.partitionBy(doc).orderBy("path")))
 
 

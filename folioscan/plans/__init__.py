@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "findings", "joins", "ordered")
+MODULES = ("pages", "findings", "joins", "ordered", "graph", "rewrites")
 
 
 def load_all() -> None:

@@ -115,11 +115,12 @@ def segments(spark, sf):
     return s.select("user_id", "segment", "n", F.col("first.event_id").alias("first_event"), F.col("last.event_id").alias("last_event"), "text")
 
 
-# Events as text runs: a user is a page, the hour of the day a row, the minute the left edge.
-RUNS_SQL = """runs AS (SELECT user_id AS page_id, minute(ts) * 10.0 + event_id % 7 AS "left", minute(ts) * 10.0 + event_id % 7 + value / 4 AS "right", day(ts) * 40.0 + event_id % 3 AS top, 12.0 AS height,
-    concat(event_type, event_id % 5) AS element, event_type AS text, CASE WHEN event_id % 6 = 0 THEN 'table-cell' WHEN event_id % 6 = 1 THEN 'flex' WHEN event_id % 6 = 2 THEN 'inline-grid' ELSE 'block' END AS display,
-    CASE WHEN event_id % 4 = 0 THEN 8.0 ELSE 0.0 END AS column_gap, CASE WHEN event_id % 11 = 0 THEN 'space-between' ELSE 'normal' END AS justify, 16.0 AS font_size,
-    CASE WHEN event_id % 7 = 0 THEN 4.0 ELSE 0.0 END AS margin FROM events)"""
+# Words as text runs: a document is a page, a line a row; margins and containers follow from the word.
+RUNS_SQL = r"""lines AS (SELECT doc_id, i AS ln, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+    words AS (SELECT doc_id, ln, i AS pos, w[i] AS word, length(w[i]) AS n FROM (SELECT *, string_split(line, ' ') AS w FROM lines), unnest(range(1, len(w) + 1)) AS u(i)),
+    runs AS (SELECT doc_id AS page_id, pos * 50.0 + (n % 7) * 3 AS "left", pos * 50.0 + (n % 7) * 3 + n * 5 AS "right", ln * 20.0 + pos % 2 AS top, 12.0 AS height, concat('span', n % 5) AS element, word AS text,
+      CASE pos % 6 WHEN 0 THEN 'table-cell' WHEN 1 THEN 'flex' WHEN 2 THEN 'inline-grid' ELSE 'block' END AS display, CASE WHEN n % 4 = 0 THEN 8.0 ELSE 0.0 END AS column_gap,
+      CASE WHEN pos % 11 = 0 THEN 'space-between' ELSE 'normal' END AS justify, 16.0 AS font_size, CASE WHEN pos % 7 = 0 THEN 4.0 ELSE 0.0 END AS margin FROM words)"""
 
 
 @query(
@@ -137,15 +138,29 @@ RUNS_SQL = """runs AS (SELECT user_id AS page_id, minute(ts) * 10.0 + event_id %
     SELECT page_id, selector, text, em, top::BIGINT AS top, cause FROM r WHERE rank <= 20""",
 )
 def wide_gaps(spark, sf):
-    e = table(spark, sf, "events")
-    runs = e.selectExpr(
-        "user_id AS page_id", "cast(minute(ts) * 10 + event_id % 7 AS DOUBLE) AS left", "minute(ts) * 10 + event_id % 7 + value / 4 AS right",
-        "cast(day(ts) * 40 + event_id % 3 AS DOUBLE) AS top", "12.0D AS height", "concat(event_type, event_id % 5) AS element", "event_type AS text",
-        "CASE event_id % 6 WHEN 0 THEN 'table-cell' WHEN 1 THEN 'flex' WHEN 2 THEN 'inline-grid' ELSE 'block' END AS display",
-        "CASE WHEN event_id % 4 = 0 THEN 8.0D ELSE 0.0D END AS column_gap", "CASE WHEN event_id % 11 = 0 THEN 'space-between' ELSE 'normal' END AS justify",
-        "16.0D AS font_size", "CASE WHEN event_id % 7 = 0 THEN 4.0D ELSE 0.0D END AS margin",
+    return W.wide_gaps(text_runs(spark, sf))
+
+
+def text_runs(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    words = lines.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("p", "word")).selectExpr(
+        "doc_id", "ln + 1 AS ln", "p + 1 AS pos", "word", "length(word) AS n"
+    )
+    return words.selectExpr(
+        "doc_id AS page_id", "cast(pos * 50 + (n % 7) * 3 AS DOUBLE) AS left", "cast(pos * 50 + (n % 7) * 3 + n * 5 AS DOUBLE) AS right",
+        "cast(ln * 20 + pos % 2 AS DOUBLE) AS top", "12.0D AS height", "concat('span', n % 5) AS element", "word AS text",
+        "CASE pos % 6 WHEN 0 THEN 'table-cell' WHEN 1 THEN 'flex' WHEN 2 THEN 'inline-grid' ELSE 'block' END AS display",
+        "CASE WHEN n % 4 = 0 THEN 8.0D ELSE 0.0D END AS column_gap", "CASE WHEN pos % 11 = 0 THEN 'space-between' ELSE 'normal' END AS justify",
+        "16.0D AS font_size", "CASE WHEN pos % 7 = 0 THEN 4.0D ELSE 0.0D END AS margin",
     )
-    return W.wide_gaps(runs)
+
+
+@query("gaps_probe", None)
+def gaps_probe(spark, sf):
+    """The named probe, prepared by a hook that keeps the runs of wide lines."""
+    from folioscan.operators.probes import run_probe
+
+    return run_probe("gaps", text_runs(spark, sf), lambda df: df.filter(F.col("text") != ""))
 
 
 @query(
