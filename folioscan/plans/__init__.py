@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "findings", "joins", "ordered", "graph", "rewrites")
+MODULES = ("pages", "findings", "joins", "ordered", "graph", "rewrites", "sources", "streams")
 
 
 def load_all() -> None:
