@@ -120,13 +120,13 @@ def landmark_census(pages: DataFrame, key: str = "page_id", html: str = "html")
     """
     pattern = rf"(?i)<(?:{'|'.join(LANDMARKS)})\b"
     marked = pages.filter(F.col(html).rlike(pattern))
-    parts = tokens(marked, key, html).repartition(key)
     size = F.when(F.col("kind") == "text", F.length(normalize_text(H.decode_entities(F.col("token"))))).otherwise(0)
+    # The text runs become their length before anything is shuffled.
+    parts = tokens(marked, key, html).select(key, "idx", "kind", "tag", size.alias("size")).repartition(key)
     order = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = F.col("tag").isin(*LANDMARKS) & (F.col("kind") == "open")
     placed = (
-        parts.select(key, "idx", "kind", "tag", size.alias("size"))
-        .withColumn("offset", F.sum("size").over(order))
+        parts.withColumn("offset", F.sum("size").over(order))
         .withColumn("no", F.sum(F.coalesce(counted, F.lit(False)).cast("int")).over(order) - 1)
         .drop("size")
     )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import normalize_text
+from folioscan.functions.text import SPACE, normalize_text
 from folioscan.operators.ordered import numbered
 
 
@@ -83,10 +83,13 @@ def fill_missing(target: DataFrame, values: DataFrame, keys: list[str], value: s
     )
 
 
-def _singles(df: DataFrame, key: Column, id_: str, name: str) -> DataFrame:
-    return df.groupBy(key.alias("match_key")).agg(
-        F.count("*").alias(f"n_{name}"), F.min(id_).alias(f"first_{name}")
-    )
+def _digest(c: Column) -> Column:
+    """Digest that cannot be null: else the join would add a null check, which computes it again at the scan."""
+    return F.coalesce(F.sha2(c, 256), F.lit(""))
+
+
+def _singles(df: DataFrame, keys: list[Column], id_: str, name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.min(id_).alias(f"first_{name}"))
 
 
 def match_by_text(
@@ -100,19 +103,24 @@ def match_by_text(
 ) -> DataFrame:
     """Match rows by their text without white space, mirrored text as a fallback.
 
-    One row per distinct left text: ``match_key, n_left, first_left, n_right, first_right, how,
-    outcome``. ``how`` is ``exact`` or ``mirror`` or null. ``outcome`` is ``matched`` when the left
+    Texts are compared by their SHA-256, so no text is shuffled. One row per distinct left text:
+    ``match_key, n_left, first_left, n_right, first_right, how, outcome``. ``how`` is ``exact`` or ``mirror`` or null. ``outcome`` is ``matched`` when the left
     text is unique and one right row carries it (with ``ancestors(ancestor, descendant)`` also
     when one of the right rows lies around all others), ``ambiguous`` when it cannot be told which
     row is meant, and ``none``. A sequential reader would give equal texts out in order; here equal
     texts on the left are ambiguous, which is the only answer that does not depend on an order.
     """
     key_l, key_r = normalize_text(F.col(left_text)), normalize_text(F.col(right_text))
-    wanted = _singles(left.filter(key_l != ""), key_l, left_id, "left")
-    offered = _singles(right.filter(key_r != ""), key_r, right_id, "right")
+    # Blank rows leave by a test that stops at the first character that shows.
+    shows = rf"[^{SPACE[1:]}"
+    texts = left.filter(F.col(left_text).rlike(shows)).select(F.col(left_id).alias("__id"), key_l.alias("__t"))
+    keys = [_digest(F.col("__t")).alias("match_key"), _digest(F.reverse("__t")).alias("mirror_key")]
+    wanted = _singles(texts, keys, "__id", "left")
+    texts = right.filter(F.col(right_text).rlike(shows)).select(F.col(right_id).alias("__id"), key_r.alias("__t"))
+    offered = _singles(texts, [_digest(F.col("__t")).alias("match_key")], "__id", "right")
     if ancestors is not None:
         # A right row that lies inside another right row of the same text is not outermost.
-        named = right.select(F.col(right_id).alias("id"), key_r.alias("match_key"))
+        named = right.select(F.col(right_id).alias("id"), _digest(key_r).alias("match_key"))
         inner = (
             ancestors.join(named.select(F.col("id").alias("descendant"), F.col("match_key")), "descendant")
             .join(named.select(F.col("id").alias("ancestor"), F.col("match_key").alias("outer_key")), "ancestor")
@@ -131,13 +139,20 @@ def match_by_text(
             .select("match_key", "n_right", "first_right")
         )
     exact = wanted.join(offered, "match_key", "left")
-    rest = exact.filter(F.col("n_right").isNull()).select("match_key", "n_left", "first_left")
-    mirrored = offered.select(F.reverse("match_key").alias("match_key"), "n_right", "first_right")
-    fallback = rest.join(mirrored, "match_key", "left").withColumn(
-        "how", F.when(F.col("n_right").isNotNull(), "mirror")
+    # Rows that already have a partner look for their own digest with a prefix, which never matches; a null
+    # key would send all of them to one task.
+    done = F.col("n_right").isNotNull()
+    seek = F.when(done, F.concat(F.lit("="), F.col("match_key"))).otherwise(F.col("mirror_key"))
+    mirrored = offered.select(
+        F.col("match_key").alias("seek"), F.col("n_right").alias("n_mirror"), F.col("first_right").alias("first_mirror")
     )
-    both = (
-        exact.filter(F.col("n_right").isNotNull()).withColumn("how", F.lit("exact")).unionByName(fallback)
+    both = exact.withColumn("seek", seek).join(mirrored, "seek", "left")
+    how = F.when(done, "exact").when(F.col("n_mirror").isNotNull(), "mirror")
+    both = both.select(
+        "match_key", "n_left", "first_left",
+        F.coalesce("n_right", "n_mirror").alias("n_right"),
+        F.coalesce("first_right", "first_mirror").alias("first_right"),
+        how.alias("how"),
     )
     outcome = (
         F.when(F.col("n_right").isNull(), "none")

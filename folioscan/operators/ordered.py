@@ -166,3 +166,38 @@ def restarting_sum(
     joined = local.alias("a").join(carry.alias("b"), on, "left")
     own = F.col("a.__s") + F.when(F.col("a.__g") == 0, F.coalesce("b.__carry", F.lit(0))).otherwise(F.lit(0))
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], own.alias(name))
+
+
+def sessions(df: DataFrame, keys: list[str], ts: str, gap_micros: int, last: str | None = None, chunks: int | None = None) -> DataFrame:
+    """Sessions closed by a pause: ``keys, first, last, n`` in microseconds, and the last value of a column.
+
+    Sessions are found per chunk of time. Only the first and the last session of a chunk can go on in
+    a neighbour, so only these meet in a window per key.
+    """
+    value = F.lit(None).cast("string") if last is None else F.col(last)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    work = with_chunks(df.select(*keys, micros.alias("__us"), value.alias("__value")), keys, "__us", chunks)
+    here = W.partitionBy(*keys, CHUNK).orderBy("__us")
+    opens = F.coalesce(F.col("__us") - F.lag("__us").over(here) >= gap_micros, F.lit(True))
+    at = F.struct("__us", "__value")
+    runs = (
+        work.withColumn("__new", opens.cast("int"))
+        .withColumn("__run", F.sum("__new").over(here.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .groupBy(*keys, CHUNK, "__run")
+        .agg(F.min("__us").alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+        .withColumn("__runs", F.max("__run").over(W.partitionBy(*keys, CHUNK)))
+    )
+    edge = (F.col("__run") == 1) | (F.col("__run") == F.col("__runs"))
+    along = W.partitionBy(*keys).orderBy(CHUNK, "__run")
+    apart = F.coalesce(F.col("first") - F.lag("last.__us").over(along) >= gap_micros, F.lit(True))
+    merged = (
+        runs.filter(edge)
+        .withColumn("__new", apart.cast("int"))
+        .withColumn("__id", F.sum("__new").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .groupBy(*keys, "__id")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+        .drop("__id")
+    )
+    out = merged.unionByName(runs.filter(~edge).drop(CHUNK, "__run", "__runs"))
+    extra = [] if last is None else [F.col("last.__value").alias(last)]
+    return out.select(*keys, "first", F.col("last.__us").alias("last"), "n", *extra)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscan.sources.readers import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,5 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+# Tables whose rows hold whole texts, with their key.
+TEXTS = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table of the test data; the text tables are spread over the cores when they are small."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df

@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from folioscan.functions.values import clamp_col
 from folioscan.operators.aggregates import ICON_URL, upper_median
 from folioscan.operators.findings import page_findings, severity_of
-from folioscan.operators.ordered import ordered_scan
+from folioscan.operators.ordered import ordered_scan, sessions
 
 # The deadline of a request and its cap, in seconds.
 DEFAULT_DEADLINE, MAX_DEADLINE = 30, 120
 
 
+UNITS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+
+
+def gap_micros(gap: str) -> int:
+    """Microseconds of a pause such as ``5 minutes``."""
+    number, unit = gap.split()
+    return int(number) * UNITS[unit.lower().removesuffix("s")]
+
+
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Event time as a time stamp with zone, which a watermark needs."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -70,9 +79,12 @@ def timeouts(requests: DataFrame, responses: DataFrame, bound: str, id_: str = "
 
 def debounce(df: DataFrame, key: str, gap: str, event: str, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """The last event of each burst: ``key, event, acted_at``; a burst ends after a pause of ``gap``."""
-    work = df.withWatermark(ts, delay) if df.isStreaming else df
+    if not df.isStreaming:
+        pause = gap_micros(gap)
+        found = sessions(df, [key], ts, pause, event)
+        return found.select(key, event, F.timestamp_micros(F.col("last") + pause).alias("acted_at"), F.col("n").alias("strokes"))
     return (
-        work.groupBy(key, F.session_window(ts, gap).alias("burst"))
+        df.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("burst"))
         .agg(F.max_by(event, F.struct(ts, event)).alias(event), F.count("*").alias("strokes"))
         .select(key, event, F.col("burst.end").alias("acted_at"), "strokes")
     )
@@ -126,9 +138,13 @@ def live_profile(df: DataFrame, size: str, slide: str | None, ms: str, ok: Colum
 
 def idle_sessions(df: DataFrame, key: str, gap: str = "5 minutes", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Sessions that a pause of ``gap`` closes."""
-    work = df.withWatermark(ts, delay) if df.isStreaming else df
+    if not df.isStreaming:
+        pause = gap_micros(gap)
+        return sessions(df, [key], ts, pause).select(
+            key, F.timestamp_micros("first").alias("started"), F.timestamp_micros(F.col("last") + pause).alias("closed"), F.col("n").alias("events")
+        )
     return (
-        work.groupBy(key, F.session_window(ts, gap).alias("s"))
+        df.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("s"))
         .agg(F.count("*").alias("events"))
         .select(key, F.col("s.start").alias("started"), F.col("s.end").alias("closed"), "events")
     )
