@@ -78,7 +78,8 @@ def element_spans(
     work = work.withColumn("__end", F.when(is_open, partner))
 
     # Depth among the closed elements gives each tag without an end the innermost element around it.
-    loose = is_open & F.col("__end").isNull()
+    work = work.withColumn("__loose", is_open & F.col("__end").isNull())
+    loose = F.col("__loose")
     in_page = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)
     step = F.when(loose, 0).when(is_open, 1).otherwise(-1)
     work = work.withColumn("__label", F.sum(step).over(in_page))
