@@ -14,6 +14,7 @@ from folioscan.functions import values as V
 from folioscan.operators import elements as E
 from folioscan.operators import findings as FD
 from folioscan.operators.gates import manifest_diff
+from folioscan.operators.ordered import numbered
 from folioscan.plans.pages import REQUEST, ruled
 from folioscan.plans.registry import query, table
 from folioscan.sources.manifest import MANIFEST, manifest
@@ -189,10 +190,10 @@ def missing_glyphs(spark, sf):
     """SELECT page_id, 1 AS uncaptioned FROM pages WHERE page_id % 4 = 0""",
 )
 def figure_audit(spark, sf):
-    return FD_figures(spark, sf).groupBy("page_id").agg(F.count("*").alias("uncaptioned"))
+    return uncaptioned_figures(spark, sf).groupBy("page_id").agg(F.count("*").alias("uncaptioned"))
 
 
-def FD_figures(spark, sf):
+def uncaptioned_figures(spark, sf):
     return E.figure_audit(E.elements(seeded(spark, sf)))
 
 
@@ -239,7 +240,7 @@ BOXES = (
     "l_orderkey AS page_id, CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'N' THEN 'img' ELSE 'pre' END AS tag, "
     "l_extendedprice / 50 AS width, l_linestatus = 'F' AS fixed, 700.0 AS printable, 900.0 AS page_width"
 )
-BOX_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax"
+BOX_ORDER = "l_partkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax"
 
 
 @query(
@@ -252,12 +253,7 @@ BOX_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_
     SELECT page_id, tag, pos, floor(width * 10 + 0.5) / 10 AS width_px, round(widest, 6) AS widest FROM k WHERE r <= 5""",
 )
 def overflow_audit(spark, sf):
-    from folioscan.operators.ordered import numbered
-
-    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax"]
-    lines = table(spark, sf, "lineitem")
-    placed = numbered(lines, ["l_orderkey"], BOX_ORDER.split(", "), "pos")
-    del order
+    placed = numbered(table(spark, sf, "lineitem"), ["l_orderkey"], BOX_ORDER.split(", "), "pos")
     boxes = placed.selectExpr(*[x.strip() for x in BOXES.split(", ")], "pos")
     return FD.overflow_audit(boxes).withColumn("widest", F.round("widest", 6))
 
@@ -459,7 +455,7 @@ def capped_read(spark, sf):
 def union_findings(spark, sf):
     s = seeded(spark, sf)
     first = s.select("page_id", FD.placeholders(F.col("html")).alias("f")).filter("f.n > 0").select("page_id", "f.code")
-    figures = FD_figures(spark, sf).select("page_id", F.lit("figure-uncaptioned").alias("code")).distinct()
+    figures = uncaptioned_figures(spark, sf).select("page_id", F.lit("figure-uncaptioned").alias("code")).distinct()
     flag = table(spark, sf, "pages").select("page_id", F.lit("scripts-disabled").alias("code"))
     return FD.union_findings(first, figures, flag).groupBy("set_rank", "code").agg(F.count("*").alias("pages"))
 

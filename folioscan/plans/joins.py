@@ -99,7 +99,7 @@ def fill_missing(spark, sf):
 
 @query(
     "match_by_text",
-    r"""WITH l AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS k FROM documents WHERE doc_id % 2 = 0),
+    r"""WITH l AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS k FROM documents),
     r AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE text END, '\s+', '', 'g') AS k FROM documents),
     lg AS (SELECT k, count(*) AS n_left, min(doc_id) AS first_left FROM l WHERE k <> '' GROUP BY k), rg AS (SELECT k, count(*) AS n_right, min(doc_id) AS first_right FROM r WHERE k <> '' GROUP BY k),
     m AS (SELECT lg.*, coalesce(e.n_right, x.n_right) AS n_right, coalesce(e.first_right, x.first_right) AS first_right,
@@ -108,9 +108,8 @@ def fill_missing(spark, sf):
 )
 def match_by_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    left = d.filter("doc_id % 2 = 0")
     right = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text")))
-    return J.match_by_text(left, right, "doc_id", "doc_id", "text", "text").drop("match_key")
+    return J.match_by_text(d, right, "doc_id", "doc_id", "text", "text").drop("match_key")
 
 
 @query(
