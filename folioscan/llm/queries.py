@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm.decontamination import decontaminate
+from folioscan.llm import quality, rules
+from folioscan.llm.chat import format_chats
+from folioscan.llm.language import identify
 from folioscan.llm.packing import pack_documents
-from folioscan.llm.rows import read
+from folioscan.llm.rows import read, share
+from folioscan.llm.surrogates import replace_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +45,55 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every text, learned from three rows in four."""
+    docs = read(spark, sf, "documents")
+    out = identify(docs, docs.where(share("doc_id", 4) != 2))
+    return out.select("doc_id", (share("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every text, learned from the labels of two rows in three."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = quality.train(docs, labels.where(share("doc_id", 3) != 1))
+    out = quality.classify(docs, model)
+    return out.select("doc_id", (share("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """All texts in sequences of 2048 ids."""
     return pack_documents(read(spark, sf, "documents"), vocabulary(), ids=False)
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every text; trusted are the texts labelled as good."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    out = rules.apply_rules(docs, rules.fit(docs, labels.where("quality = 1")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+CHAT_SQL = """
+WITH said AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations),
+full_ AS (SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := r, t := t) ORDER BY turn NULLS FIRST, r, t) AS l FROM said GROUP BY conv_id),
+one AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, l FROM full_ GROUP BY n_turns, l),
+earlier AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(generate_series(1, n_turns - 1)) AS k FROM full_))
+SELECT conv_id, n_turns, n_copies,
+       array_to_string(list_transform(l, lambda x: concat('<|', x.r, '|>', chr(10), x.t, chr(10), '<|end|>', chr(10))), '') AS rendered
+FROM one WHERE NOT EXISTS (SELECT 1 FROM earlier WHERE earlier.l = one.l)
+"""
+
+
+@query("op6_chat_formatting", CHAT_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations that no longer one continues, rendered."""
+    return format_chats(read(spark, sf, "conversations"))
+
+
+@query("op7_pii_surrogates")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts with surrogates for their entities."""
+    return replace_entities(read(spark, sf, "documents")).select("doc_id", "n_entities", "text")
