@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.decontamination import decontaminate
 from folioscan.llm import quality, rules
 from folioscan.llm.chat import format_chats
+from folioscan.llm.jaccard import similar
 from folioscan.llm.language import identify
 from folioscan.llm.packing import pack_documents
 from folioscan.llm.rows import read, share
@@ -97,3 +98,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """All texts with surrogates for their entities."""
     return replace_entities(read(spark, sf, "documents")).select("doc_id", "n_entities", "text")
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts with their class of near duplicates (five words, similarity 0.8) and the number of their links."""
+    return similar(read(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
