@@ -11,6 +11,7 @@ from folioscan.llm.decontamination import decontaminate
 from folioscan.llm import quality, rules
 from folioscan.llm.chat import format_chats
 from folioscan.llm.jaccard import similar
+from folioscan.llm.katz import score_texts
 from folioscan.llm.language import identify
 from folioscan.llm.packing import pack_documents
 from folioscan.llm.rows import read, share
@@ -104,3 +105,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All texts with their class of near duplicates (five words, similarity 0.8) and the number of their links."""
     return similar(read(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """The log10 probability of every text, learned from six rows in seven."""
+    held_out = share("doc_id", 7) == 2
+    out = score_texts(read(spark, sf, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
