@@ -15,6 +15,7 @@ from folioscan.llm.katz import score_texts
 from folioscan.llm.language import identify
 from folioscan.llm.packing import pack_documents
 from folioscan.llm.rows import read, share
+from folioscan.llm.suffixes import remove_repeats
 from folioscan.llm.surrogates import replace_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     held_out = share("doc_id", 7) == 2
     out = score_texts(read(spark, sf, "documents"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_repeated_passages")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of every text without strings of 400 bytes that occur again."""
+    out = remove_repeats(read(spark, sf, "documents"), kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
