@@ -56,7 +56,7 @@ def css_families(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.explode(decl).alias("family")).select(name.alias("family"))
 
 
-def family_census(df: DataFrame, family: str, loaded: DataFrame, limit: int | None = 20) -> DataFrame:
+def family_census(df: DataFrame, family: str, loaded: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows per family that is neither generic nor loaded, the most frequent first."""
     counts = (
         df.filter(~F.col(family).rlike(GENERIC_FAMILY) & (F.col(family) != ""))
@@ -79,8 +79,15 @@ def plan_summary(df: DataFrame, tag: str = "tag") -> DataFrame:
     return df.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("n"))
 
 
-def failure_summary(df: DataFrame, keys: list[str], url: str, kind: str, order: list[str], limit: int = 5) -> DataFrame:
-    """Failed assets per key: number of distinct addresses, kinds, images and the first addresses.
+def _ranked(found: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    """Rows with their rank by ``at``; only the first ones if there is a limit."""
+    if limit is None:
+        return found.withColumn("rank", F.col("at"))
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at"))).filter(F.col("rank") <= limit)
+
+
+def failure_summary(df: DataFrame, keys: list[str], url: str, kind: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Failed assets per key: number of distinct addresses, kinds, images and the addresses in order, or the first of them.
 
     Icon requests are dropped. Failures without address count one by one. The rows shrink to one
     per address before they are summed up.
@@ -100,8 +107,7 @@ def failure_summary(df: DataFrame, keys: list[str], url: str, kind: str, order:
     )
     rows = known.unionByName(unknown, allowMissingColumns=True)
     first = (
-        known.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at")))
-        .filter(F.col("rank") <= limit)
+        _ranked(known, keys, limit)
         .groupBy(*keys)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", url))), lambda x: x[url]), "\n").alias("listed"))
     )
@@ -113,18 +119,17 @@ def failure_summary(df: DataFrame, keys: list[str], url: str, kind: str, order:
     return totals.join(first, keys, "left")
 
 
-def distinct_errors(df: DataFrame, keys: list[str], message: str, order: list[str], limit: int = 3) -> DataFrame:
-    """Distinct messages per key: the first ones in order and how many more there are."""
+def distinct_errors(df: DataFrame, keys: list[str], message: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Distinct messages per key in order; with ``limit`` the first ones and how many more there are."""
     at = F.struct(*[F.col(c) for c in order])
     found = df.groupBy(*keys, message).agg(F.min(at).alias("at"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at")))
-    first = ranked.filter(F.col("rank") <= limit)
+    first = _ranked(found, keys, limit)
     total = found.groupBy(*keys).agg(F.count("*").alias("n"))
     return (
         first.groupBy(*keys)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", message))), lambda x: x[message]), "; ").alias("listed"))
         .join(total, keys)
-        .withColumn("more", F.greatest(F.col("n") - limit, F.lit(0)))
+        .withColumn("more", F.lit(0).cast("bigint") if limit is None else F.greatest(F.col("n") - limit, F.lit(0)))
     )
 
 

@@ -7,6 +7,8 @@ improves. Only a yes-or-no answer per round comes to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +19,14 @@ from folioscan.operators.ordered import numbered
 from folioscan.session import cut
 
 
-def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int = 64, doc: str = "doc_id") -> DataFrame:
+def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, doc: str = "doc_id") -> DataFrame:
     """Nodes reached from the roots in preorder: ``doc, node, path, trail, depth``.
 
     ``edges``: ``doc, src, dst, pos``; ``roots``: ``doc, node, pos``. Each node appears once, under the
     least path of child positions, which is where a preorder walk meets it first; so a node is
     expanded again when a smaller path to it turns up. ``trail`` holds the nodes on the path. Sorting by
     ``path`` gives the reading order. Edges to nodes that do not exist do no harm if they are left out of
-    ``edges``. Nodes at ``max_depth`` are not expanded.
+    ``edges``. With ``max_depth`` deeper nodes are left out, and ``depth_capped`` marks the nodes whose children were.
     """
     links = edges.select(
         F.col(doc).alias("__doc"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("pos").cast("int").alias("__pos")
@@ -32,7 +34,8 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int = 64, doc: str
     first = F.min(F.struct(F.array(F.col("pos").cast("int")).alias("path"), F.array(F.col("node")).alias("trail")))
     frontier = cut(roots.groupBy(doc, "node").agg(first.alias("b")))
     layers = frontier
-    for _ in range(max_depth):
+    deep = count() if max_depth is None else range(max_depth)
+    for _ in deep:
         on = (F.col(doc) == F.col("__doc")) & (F.col("node") == F.col("__src"))
         step = F.struct(
             F.array_append("b.path", F.col("__pos")).alias("path"), F.array_append("b.trail", F.col("__dst")).alias("trail")
@@ -52,7 +55,12 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int = 64, doc: str
             break
         layers = layers.unionByName(frontier)
     best = layers.groupBy(doc, "node").agg(F.min("b").alias("b"))
-    return best.select(doc, "node", "b.path", "b.trail", (F.size("b.path") - 1).alias("depth"))
+    out = best.select(doc, "node", "b.path", "b.trail", (F.size("b.path") - 1).alias("depth"))
+    if max_depth is None:
+        return out
+    parents = links.select(F.col("__doc").alias(doc), F.col("__src").alias("node"), F.lit(True).alias("__more")).distinct()
+    capped = (F.col("depth") >= max_depth) & F.coalesce("__more", F.lit(False))
+    return out.join(parents, [doc, "node"], "left").select(*out.columns, capped.alias("depth_capped"))
 
 
 def preorder(walk: DataFrame, doc: str = "doc_id", name: str = "rank") -> DataFrame:
@@ -72,20 +80,54 @@ def tree_edges(tree: DataFrame, doc: str, node: str = "idx", parent: str = "pare
     return edges, roots
 
 
-def linked_order(nodes: DataFrame, node: str, first: str | None, following: str, doc: str = "doc_id", max_depth: int = 64) -> DataFrame:
-    """Reading order by first-child and next-sibling links; the roots are the nodes nobody links to."""
-    links = nodes.filter(F.col(following).isNotNull()).select(
-        doc, F.col(node).alias("src"), F.col(following).alias("dst"), F.lit(1).alias("pos")
-    )
-    if first is not None:
-        links = links.unionByName(
-            nodes.filter(F.col(first).isNotNull()).select(
-                doc, F.col(node).alias("src"), F.col(first).alias("dst"), F.lit(0).alias("pos")
+def chain_places(links: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Head and place of each node in chains of links ``doc, src, dst``: ``doc, node, head, place``.
+
+    Every node looks twice as far back in each round, so a chain of n links takes log2(n) rounds. Nodes in a ring have
+    no head and are left out; of several links to one node the one from the smallest node counts.
+    """
+    back = links.groupBy(doc, F.col("dst").alias("node")).agg(F.min("src").alias("to"))
+    nodes = links.select(doc, F.col("src").alias("node")).union(links.select(doc, "dst")).distinct()
+    state = cut(nodes.join(back, [doc, "node"], "left").select(doc, "node", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("place"), F.coalesce("to", "node").alias("head")))
+    size, seen = state.count(), 1
+    while seen <= size and not state.filter(F.col("to").isNotNull()).isEmpty():
+        far = state.select(doc, F.col("node").alias("to"), F.col("to").alias("__to"), F.col("place").alias("__place"), F.col("head").alias("__head"))
+        moved = F.col("to").isNotNull()
+        state = cut(
+            state.join(far, [doc, "to"], "left").select(
+                doc, "node", F.col("__to").alias("to"), (F.col("place") + F.when(moved, F.col("__place")).otherwise(0)).alias("place"), F.when(moved, F.col("__head")).otherwise(F.col("head")).alias("head")
             )
         )
-    linked = links.select(doc, F.col("dst").alias(node)).distinct()
-    heads = nodes.select(doc, node).join(linked, [doc, node], "left_anti").select(doc, F.col(node).alias("node"), F.lit(0).alias("pos"))
-    return preorder(graph_walk(links, heads, max_depth, doc), doc)
+        seen *= 2
+    return state.filter(F.col("to").isNull()).select(doc, "node", "head", "place")
+
+
+def linked_order(nodes: DataFrame, node: str, first: str | None, following: str, doc: str = "doc_id", max_depth: int | None = None) -> DataFrame:
+    """Reading order by first-child and next-sibling links; the roots are the nodes nobody links to.
+
+    Chains of siblings become places under one parent, so the walk is as deep as the tree and not as long as its chains.
+    """
+    every = nodes.select(doc, F.col(node).alias("node"))
+    firsts = nodes.select(doc, F.col(node).alias("parent"), F.col(first).alias("head")).filter(F.col("head").isNotNull()) if first is not None else None
+    links = nodes.filter(F.col(following).isNotNull()).select(doc, F.col(node).alias("src"), F.col(following).alias("dst"))
+    if firsts is not None:  # a first child begins its chain
+        links = links.join(firsts.select(doc, F.col("head").alias("dst")), [doc, "dst"], "left_anti").select(doc, "src", "dst")
+    chained = chain_places(links, doc)
+    linked = links.select(doc, F.col("src").alias("node")).union(links.select(doc, "dst"))
+    alone = every.join(linked, [doc, "node"], "left_anti").select(doc, "node", F.col("node").alias("head"), F.lit(0).cast("bigint").alias("place"))
+    placed = cut(chained.unionByName(alone))
+    if firsts is None:
+        under, top = None, placed
+    else:
+        under = placed.join(firsts.groupBy(doc, "head").agg(F.min("parent").alias("parent")), [doc, "head"])
+        top = placed.join(firsts.select(doc, "head").distinct(), [doc, "head"], "left_anti")
+    roots = numbered(top.select(doc, "head", "place", "node"), [doc], ["head", "place"], "pos").select(doc, "node", "pos")
+    edges = (
+        under.select(doc, F.col("parent").alias("src"), F.col("node").alias("dst"), F.col("place").alias("pos"))
+        if under is not None
+        else roots.select(doc, F.col("node").alias("src"), F.col("node").alias("dst"), "pos").limit(0)
+    )
+    return preorder(graph_walk(edges, roots, max_depth, doc), doc)
 
 
 def ancestors(walk: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -116,9 +158,11 @@ def inherit_context(walk: DataFrame, nodes: DataFrame, value: str, doc: str = "d
     return walk.select(doc, "node").join(nearest, [doc, "node"], "left")
 
 
-def asset_closure(refs: DataFrame, files: DataFrame, doc: str = "page_id") -> DataFrame:
+def asset_closure(refs: DataFrame, files: DataFrame, doc: str = "page_id", max_depth: int | None = None) -> DataFrame:
     """Files reached from the references of a document through style sheets and scripts: ``doc, path, depth``.
 
+    The walk ends when a round finds no new file; ``max_depth`` ends it earlier.
+
     ``refs``: ``doc, path`` (absolute); ``files``: ``path, content``. Each path is listed once, files that do not exist
     only as the last step.
     """
@@ -133,7 +177,7 @@ def asset_closure(refs: DataFrame, files: DataFrame, doc: str = "page_id") -> Da
     starts = refs.select("path").distinct().select(F.col("path").alias("doc_id"), F.col("path").alias("node"), F.lit(0).alias("pos"))
     reach = cut(starts.select("doc_id", "node", F.lit(0).alias("depth")))
     frontier = reach
-    for depth in range(1, 65):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = (
             frontier.join(links.select(F.col("src").alias("node"), "dst"), "node")
             .select("doc_id", F.col("dst").alias("node"))

@@ -198,26 +198,34 @@ def map_roles(df: DataFrame, role: str, existing: DataFrame, defaults: DataFrame
     )
 
 
-def clean_ranges(ranges: DataFrame, lo: str = "lo", hi: str = "hi", max_span: int = 65535, max_code: int = 65535) -> DataFrame:
-    """Drop ranges that end before they start or span too much; keep the others within the codes."""
-    return ranges.filter((F.col(hi) >= F.col(lo)) & (F.col(hi) - F.col(lo) <= max_span) & (F.col(lo) <= max_code)).withColumn(
-        hi, F.least(F.col(hi), F.lit(max_code))
-    )
+def clean_ranges(ranges: DataFrame, lo: str = "lo", hi: str = "hi", max_span: int | None = None, max_code: int | None = None) -> DataFrame:
+    """Drop ranges that end before they start. With ``max_span`` also those that span more, with ``max_code`` cut them to the codes."""
+    out = ranges.filter(F.col(hi) >= F.col(lo))
+    if max_span is not None:
+        out = out.filter(F.col(hi) - F.col(lo) <= max_span)
+    if max_code is not None:
+        out = out.filter(F.col(lo) <= max_code).withColumn(hi, F.least(F.col(hi), F.lit(max_code)))
+    return out
 
 
-def range_lookup(codes: DataFrame, ranges: DataFrame, code: str, width: int = 256) -> DataFrame:
+def range_lookup(codes: DataFrame, ranges: DataFrame, code: str, max_span: int | None = None, max_code: int | None = None) -> DataFrame:
     """Value of a code in ``ranges(lo, hi, base, ord)``: ``base + (code - lo)``, the last range wins.
 
-    Distinct codes meet the ranges through blocks of ``width`` codes (an equi join), and the answers
-    go back to the rows by code. A range spans at most 65,536 codes, so the codes that can match
-    are that many at most.
+    A range lies in two blocks at most of the power of two that is not under its span, so distinct codes
+    meet the ranges by (power, block), an equi join, for each of the at most 63 powers that occur. The
+    answers go back to the rows by code. No code or span is too large; a caller may set bounds.
     """
-    blocks = clean_ranges(ranges).select(
-        "lo", "hi", "base", "ord", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))).alias("block")
-    )
-    distinct = codes.select(F.col(code).cast("bigint").alias("code")).distinct().withColumn("block", F.expr(f"code div {width}"))
+    clean = clean_ranges(ranges, max_span=max_span, max_code=max_code)
+    power = F.length(F.bin(F.col("hi").cast("bigint") - F.col("lo")))
+    sized = clean.withColumn("power", power)
+    powers = sorted(r["power"] for r in sized.select("power").distinct().collect())
+    ends = F.array_distinct(F.array(F.expr("shiftright(cast(lo AS bigint), power)"), F.expr("shiftright(cast(hi AS bigint), power)")))
+    blocks = sized.select("lo", "hi", "base", "ord", "power", F.explode(ends).alias("block"))
+    distinct = codes.select(F.col(code).cast("bigint").alias("code")).distinct()
+    levels = F.array(*map(F.lit, powers)).cast("array<int>")
+    distinct = distinct.withColumn("power", F.explode(levels)).withColumn("block", F.expr("shiftright(code, power)"))
     found = (
-        distinct.join(blocks, "block")
+        distinct.join(blocks, ["power", "block"])
         .filter(F.col("code").between(F.col("lo"), F.col("hi")))
         .groupBy("code")
         .agg(F.max_by(F.col("base") + F.col("code") - F.col("lo"), "ord").alias("value"))
@@ -232,7 +240,7 @@ def fallback_resolve(df: DataFrame, primary: str, secondary: str, default: Colum
 
 
 def match_requests(requests: DataFrame, failures: DataFrame, id_: str = "request_id") -> DataFrame:
-    """Failures with the address of their request, null where none is known."""
+    """Failures with the address of their request, null where none is known. An id belongs to one request; of several the latest counts."""
     sent = requests.groupBy(id_).agg(F.max_by("url", "ts").alias("request_url"))
     return failures.join(sent, id_, "left")
 

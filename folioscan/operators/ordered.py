@@ -3,8 +3,9 @@
 A plain window sends every row of a key to one task, which fails when one key holds a third of the
 rows. Here the rows of a key are cut into chunks along the order. Each chunk is scanned by a window
 of its own, one summary row per chunk is scanned per key, and the carry of the earlier chunks is
-joined back. The chunks are equal steps of the first order column, and their number follows the
-parallelism of the session.
+joined back. The cut points are quantiles of the first order column, so outliers do not matter; where
+many rows share one value of it, they are cut again by quantiles of the second column. The number of
+chunks follows the parallelism of the session. A null key is a group like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 
@@ -20,30 +22,59 @@ def chunk_count(df: DataFrame) -> int:
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    c = F.col(name)
-    if kind in ("timestamp", "timestamp_ntz"):
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """A column as a number in the same order, or nothing if it has no such number."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if kind == "date":
+    if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
-    return c.cast("double")
+    return c.cast("double") if isinstance(kind, (T.NumericType, T.BooleanType)) else None
 
 
-def with_chunks(df: DataFrame, keys: list[str], first: str, chunks: int | None = None) -> DataFrame:
-    """Add the chunk number: a step function that grows with the first order column.
+def _numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
 
-    Keys must hold no nulls; a null would lose its carry in the join, so it is an error.
+
+def _steps(x: Column, table: Column, size: int) -> Column:
+    """How many of the ascending numbers in a table of at most ``size`` are not over x, by halving."""
+    top = 1 << size.bit_length()
+    halves = F.array(*[F.lit(top >> k) for k in range(1, top.bit_length())])
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= x, step).otherwise(0))
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """Add the chunk number, which grows with the order; nulls of the first order column come first.
+
+    A value that fills several of the equal shares gets as many cut points along the second order column.
     """
     n = chunks or chunk_count(df)
-    x = _as_number(df, first)
-    bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    span = bounds["hi"] - bounds["lo"]
-    step = F.when(span > 0, F.floor((x - bounds["lo"]) / span * n)).otherwise(0)
-    chunk = F.coalesce(step, F.lit(-1)).cast("int")
-    for key in keys:
-        chunk = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"key {key} is null"))).otherwise(chunk)
-    return df.withColumn(CHUNK, chunk)
+    x = _as_number(df, order[0])
+    if x is None:
+        raise TypeError(f"{order[0]}: the first order column has to be a number, a date or a time")
+    shares = [k / n for k in range(1, n)]
+    found = [v for v in df.agg(F.percentile_approx(x, shares, 20 * n)).first()[0] or [] if v == v]
+    cuts = sorted(set(found))
+    if not cuts:
+        return df.withColumn(CHUNK, F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    second = _as_number(df, order[1]) if len(order) > 1 else None
+    hot = {v: found.count(v) for v in cuts if found.count(v) > 1}
+    inside: dict[float, list[float]] = {}
+    if hot and second is not None:
+        for row in df.where(x.isin(list(hot))).groupBy(x.alias("x")).agg(F.percentile_approx(second, shares, 20 * n).alias("q")).collect():
+            q = [v for v in row["q"] or [] if v == v]
+            inside[row["x"]] = sorted({q[len(q) * k // hot[row["x"]]] for k in range(1, hot[row["x"]]) if q})
+    place = _steps(x, _numbers(cuts), len(cuts))
+    within: Column = F.lit(0)
+    if inside:
+        tables = F.array(*[_numbers(inside.get(v, [])) for v in cuts])
+        within = F.when(F.get(_numbers(cuts), place - 1) == x, _steps(second, F.get(tables, place - 1), n)).otherwise(n)
+    return df.withColumn(CHUNK, F.when(x.isNull(), F.lit(-1)).otherwise(place * (n + 1) + within).cast("long"))
+
+
+def _matches(keys: list[str]) -> list[Column]:
+    """Join condition of rows and carries; null keys meet."""
+    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, CHUNK]]
 
 
 def ordered_scan(
@@ -62,7 +93,7 @@ def ordered_scan(
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     base = df.columns
-    work = with_chunks(df, keys, order[0], chunks)
+    work = with_chunks(df, keys, order, chunks)
     for name, expr in {**sums, **lasts, **nexts}.items():
         work = work.withColumn(f"__v_{name}", expr)
 
@@ -93,7 +124,7 @@ def ordered_scan(
         *[F.last(f"__s_{n}", ignorenulls=True).over(over).alias(f"__c_{n}") for n in lasts],
         *[F.last(f"__s_{n}", ignorenulls=True).over(under).alias(f"__c_{n}") for n in nexts],
     )
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, CHUNK]]
+    on = _matches(keys)
     joined = local.alias("a").join(carry.alias("b"), on, "left")
 
     def total(n: str) -> Column:
@@ -118,7 +149,7 @@ def islands(df: DataFrame, keys: list[str], order: list[str], value: str, chunks
     Runs are found per chunk. Only the first and the last run of a chunk can continue in a
     neighbour, so only these meet in a window per key, at most two rows per chunk.
     """
-    work = with_chunks(df.select(*dict.fromkeys([*keys, *order, value])), keys, order[0], chunks)
+    work = with_chunks(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, chunks)
     here = W.partitionBy(*keys, CHUNK).orderBy(*order)
     at = F.struct(*[F.col(c) for c in order])
     change = ~F.col(value).eqNullSafe(F.lag(value).over(here)) | (F.row_number().over(here) == 1)
@@ -148,7 +179,7 @@ def restarting_sum(
     df: DataFrame, keys: list[str], order: list[str], value: Column, restart: Column, name: str, chunks: int | None = None
 ) -> DataFrame:
     """Sum of the values before a row since the last restart (the restarting row itself starts at 0)."""
-    work = with_chunks(df, keys, order[0], chunks).withColumn("__v", value).withColumn("__r", restart.cast("int"))
+    work = with_chunks(df, keys, order, chunks).withColumn("__v", value).withColumn("__r", restart.cast("int"))
     here = W.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = work.withColumn("__g", F.sum("__r").over(upto))
@@ -162,7 +193,7 @@ def restarting_sum(
     group = W.partitionBy(*keys, "__grp").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, W.currentRow)
     carry = carry.withColumn("__sofar", F.sum("__tail").over(group))
     carry = carry.withColumn("__carry", F.lag("__sofar").over(along)).select(*keys, CHUNK, "__carry")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, CHUNK]]
+    on = _matches(keys)
     joined = local.alias("a").join(carry.alias("b"), on, "left")
     own = F.col("a.__s") + F.when(F.col("a.__g") == 0, F.coalesce("b.__carry", F.lit(0))).otherwise(F.lit(0))
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], own.alias(name))
@@ -176,7 +207,7 @@ def sessions(df: DataFrame, keys: list[str], ts: str, gap_micros: int, last: str
     """
     value = F.lit(None).cast("string") if last is None else F.col(last)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    work = with_chunks(df.select(*keys, micros.alias("__us"), value.alias("__value")), keys, "__us", chunks)
+    work = with_chunks(df.select(*keys, micros.alias("__us"), value.alias("__value")), keys, ["__us"], chunks)
     here = W.partitionBy(*keys, CHUNK).orderBy("__us")
     opens = F.coalesce(F.col("__us") - F.lag("__us").over(here) >= gap_micros, F.lit(True))
     at = F.struct("__us", "__value")

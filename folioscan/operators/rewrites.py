@@ -163,12 +163,12 @@ def apply_by_index(df: DataFrame, changes: DataFrame, keys: list[str], value: st
     )
 
 
-def expand_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
+def expand_ranges(ranges: DataFrame, keys: list[str], max_span: int | None = None, max_code: int | None = None) -> DataFrame:
     """Ranges ``lo, hi, base, ord`` written out as ``keys, code, value``; the last entry for a code wins.
 
     ``base`` is a number or the hexadecimal text of 16-bit units, every one of which grows with the code.
     """
-    codes = clean_ranges(ranges).withColumn("code", F.explode(F.sequence(F.greatest(F.col("lo"), F.lit(0)), F.col("hi"))))
+    codes = clean_ranges(ranges, max_span=max_span, max_code=max_code).withColumn("code", F.explode(F.sequence(F.greatest(F.col("lo"), F.lit(0)), F.col("hi"))))
     step = F.col("code") - F.col("lo")
     if ranges.schema["base"].dataType.simpleString() == "string":
         units = F.regexp_extract_all(F.col("base"), F.lit("[0-9A-Fa-f]{4}"), F.lit(0))

@@ -104,7 +104,7 @@ def segments(df: DataFrame, keys: list[str], order: list[str], is_break: Column,
     return work.groupBy(*keys, "segment").agg(*aggs)
 
 
-def wide_gaps(runs: DataFrame, key: str = "page_id", limit_em: float = 0.6, top: int | None = 20) -> DataFrame:
+def wide_gaps(runs: DataFrame, key: str = "page_id", limit_em: float = 0.6, top: int | None = None) -> DataFrame:
     """Gaps over the limit between neighbours of a row: ``key, selector, text, em, top, cause``.
 
     ``runs``: ``key, left, right, top, height, element, text, display, column_gap, justify, font_size,
@@ -256,11 +256,11 @@ def retention(df: DataFrame, keys: list[str], ts: str, max_age: str, order: list
     """Rows no older than the limit before the newest row, and the newest row of each key."""
     newest = df.agg(F.max(ts).alias("m")).scalar()
     at = F.struct(*[F.col(c) for c in order])
-    last = df.groupBy(*keys).agg(F.max(at).alias("__last"))
-    young = F.col(ts) >= newest - F.expr(f"INTERVAL {max_age}")
-    out = df.join(last, keys)
-    keep = F.when(young, "young").when(at == F.col("__last"), "newest")
-    return out.withColumn("kept_as", keep).filter(F.col("kept_as").isNotNull()).drop("__last")
+    since = newest - F.expr(f"INTERVAL {max_age}")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    last = df.groupBy(*keys).agg(F.max_by(row, at).alias("row")).select("row.*")
+    young = df.filter(F.col(ts) >= since).withColumn("kept_as", F.lit("young"))
+    return young.unionByName(last.filter(F.col(ts) < since).withColumn("kept_as", F.lit("newest")))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[str], by: str, k: int) -> DataFrame:

@@ -250,7 +250,7 @@ BOX_ORDER = "l_partkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_
     o AS (SELECT * FROM w WHERE width > lim AND abs(width - lim) >= 0.5),
     f AS (SELECT page_id, tag, min(pos) AS pos, arg_min(width, pos) AS width, max(width) AS widest FROM o GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM f)
-    SELECT page_id, tag, pos, floor(width * 10 + 0.5) / 10 AS width_px, round(widest, 6) AS widest FROM k WHERE r <= 5""",
+    SELECT page_id, tag, pos, floor(width * 10 + 0.5) / 10 AS width_px, round(widest, 6) AS widest FROM k""",
 )
 def overflow_audit(spark, sf):
     placed = numbered(table(spark, sf, "lineitem"), ["l_orderkey"], BOX_ORDER.split(", "), "pos")
@@ -302,12 +302,12 @@ def confine_refs(spark, sf):
 @query(
     "blocked_requests",
     """WITH r AS (SELECT p.p_brand, p.p_partkey AS pos, concat('https://cdn.example/', p_name, p_partkey) AS ref FROM part p WHERE p_size > 10),
-    k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS r FROM r) SELECT p_brand, pos, ref FROM k WHERE r <= 20""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS r FROM r) SELECT p_brand, pos, ref FROM k""",
 )
 def blocked_requests(spark, sf):
     ref = F.expr("CASE WHEN p_size > 10 THEN concat('https://cdn.example/', p_name, p_partkey) ELSE concat('local/', p_name) END")
     refs = table(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("pos"), ref.alias("ref"))
-    return FD.blocked_requests(refs, key="p_brand", limit=20)
+    return FD.blocked_requests(refs, key="p_brand")
 
 
 @query(

@@ -70,13 +70,13 @@ def place_tree(spark, sf):
     return w.select("doc_id", "node", "depth", F.coalesce(F.try_element_at("trail", F.lit(-2)), F.lit("")).alias("parent"))
 
 
-@query("linked_order", "SELECT conv_id, (turn * 7919) % 10007 AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations")
+@query("linked_order", "SELECT conv_id, xor(turn, 5) AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations")
 def linked_order(spark, sf):
     """Turns under shuffled numbers, each with a link to the next one."""
     c = table(spark, sf, "conversations").select("conv_id", "turn")
 
     def number(col):
-        return (col * 7919) % 10007
+        return col.bitwiseXOR(5)
 
     following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), number(F.col("turn")).alias("next"))
     nodes = c.join(following, ["conv_id", "turn"], "left").select("conv_id", number(F.col("turn")).alias("node"), "next")

@@ -182,7 +182,7 @@ RANGES_SQL = (
 
 @query(
     "range_lookup",
-    f"""WITH r AS (SELECT * FROM ({RANGES_SQL}) WHERE hi >= lo AND hi - lo <= 65535), k AS (SELECT DISTINCT l_partkey FROM lineitem),
+    f"""WITH r AS (SELECT * FROM ({RANGES_SQL}) WHERE hi >= lo), k AS (SELECT DISTINCT l_partkey FROM lineitem),
     h AS (SELECT l_partkey, arg_max(base + l_partkey - lo, ord) AS value FROM k JOIN r ON l_partkey BETWEEN lo AND hi GROUP BY 1)
     SELECT l_partkey, value, count(*) AS n FROM lineitem LEFT JOIN h USING (l_partkey) GROUP BY ALL""",
 )
@@ -194,13 +194,13 @@ def range_lookup(spark, sf):
 
 @query(
     "expand_ranges",
-    f"""WITH r AS (SELECT lo, least(hi, 65535) AS hi, base, ord FROM ({RANGES_SQL}) WHERE hi >= lo AND hi - lo <= 65535 AND lo <= 65535),
+    f"""WITH r AS (SELECT lo, hi, base, ord FROM ({RANGES_SQL}) WHERE hi >= lo AND hi - lo <= 65535),
     x AS (SELECT code, base + code - lo AS v, ord FROM r, LATERAL (SELECT unnest(range(lo, hi + 1)) AS code))
     SELECT code, arg_max(v, ord) AS value FROM x GROUP BY code""",
 )
 def expand_ranges(spark, sf):
     table(spark, sf, "part").createOrReplaceTempView("part_for_ranges")
-    return R.expand_ranges(spark.sql(RANGES_SQL.replace("FROM part", "FROM part_for_ranges")), [])
+    return R.expand_ranges(spark.sql(RANGES_SQL.replace("FROM part", "FROM part_for_ranges")), [], max_span=65535)
 
 
 @query(

@@ -135,7 +135,7 @@ RUNS_SQL = r"""lines AS (SELECT doc_id, i AS ln, l[i] AS line FROM (SELECT doc_i
     f AS (SELECT page_id, cause, element, floor(top / 8 + 0.5) AS band, arg_min(concat(p_element, ' -> ', element), at_) AS selector, arg_min(text, at_) AS text, arg_min(floor(e * 100 + 0.5) / 100, at_) AS em,
       arg_min(floor(top + 0.5), at_) AS top, min(at_) AS at_ FROM d GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY em DESC, at_) AS rank FROM f)
-    SELECT page_id, selector, text, em, top::BIGINT AS top, cause FROM r WHERE rank <= 20""",
+    SELECT page_id, selector, text, em, top::BIGINT AS top, cause FROM r""",
 )
 def wide_gaps(spark, sf):
     return W.wide_gaps(text_runs(spark, sf))
@@ -294,7 +294,7 @@ def resolve_count(spark, sf):
 
 @query(
     "family_census",
-    """SELECT p_brand AS family, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50) GROUP BY 1 ORDER BY n DESC, family LIMIT 20""",
+    """SELECT p_brand AS family, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50) GROUP BY 1""",
 )
 def family_census(spark, sf):
     p = table(spark, sf, "part")
@@ -304,7 +304,7 @@ def family_census(spark, sf):
 
 @query(
     "css_family_census",
-    """SELECT p_brand AS family, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, family LIMIT 20""",
+    """SELECT p_brand AS family, count(*) AS n FROM part GROUP BY 1""",
 )
 def css_family_census(spark, sf):
     text = F.expr("concat('<style>p{font-family: \"', p_brand, '\", serif} q{font-family:monospace} /* font-family: x; */</style>')")
@@ -344,7 +344,7 @@ def plan_summary(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY at_) AS rank FROM k),
     u AS (SELECT event_type, kind FROM k UNION ALL SELECT event_type, kind FROM e WHERE url IS NULL)
     SELECT event_type, count(*) AS failed, count(DISTINCT kind) AS kinds, count(*) FILTER (kind = 'Image') AS images,
-    (SELECT string_agg(url, chr(10) ORDER BY rank) FROM r WHERE r.event_type = u.event_type AND rank <= 5) AS listed FROM u GROUP BY event_type""",
+    (SELECT string_agg(url, chr(10) ORDER BY rank) FROM r WHERE r.event_type = u.event_type) AS listed FROM u GROUP BY event_type""",
 )
 def failure_summary(spark, sf):
     e = table(spark, sf, "events").selectExpr(
@@ -359,7 +359,7 @@ def failure_summary(spark, sf):
     "distinct_errors",
     """WITH e AS (SELECT user_id, concat('k', json_extract_string(props, '$.k')) AS message, min((ts, event_id)) AS at_ FROM events WHERE event_type = 'error' GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_) AS rank FROM e)
-    SELECT user_id, string_agg(message, '; ' ORDER BY rank) FILTER (rank <= 3) AS listed, count(*) AS n, greatest(count(*) - 3, 0) AS more FROM r GROUP BY user_id""",
+    SELECT user_id, string_agg(message, '; ' ORDER BY rank) AS listed, count(*) AS n, 0::BIGINT AS more FROM r GROUP BY user_id""",
 )
 def distinct_errors(spark, sf):
     e = table(spark, sf, "events").filter("event_type = 'error'")
