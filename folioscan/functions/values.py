@@ -67,32 +67,22 @@ def clamp_col(c: Column, lo: float, hi: float, default: float | None = None) ->
 
 
 def page_ranges_problem(c: Column) -> Column:
-    """What is wrong with a page-range text; null when nothing is."""
+    """Code and parts of what is wrong with a page-range text; null when nothing is.
+
+    ``malformed: ...`` lists the parts that are neither a number nor a range, ``reversed: ...`` the ranges that end before they start.
+    """
     parts = F.transform(F.split(c, ","), trimmed)
-    bad = F.filter(parts, lambda p: ~p.rlike(RANGE))
-    turned = F.filter(
-        parts,
-        lambda p: F.regexp_extract(p, r"^(\d+)-(\d+)$", 1).try_cast("long")
-        > F.regexp_extract(p, r"^(\d+)-(\d+)$", 2).try_cast("long"),
-    )
-    quoted = F.array_join(F.transform(bad, lambda b: F.concat(F.lit('"'), b, F.lit('"'))), ", ")
-    return (
-        F.when(F.size(bad) == 1, F.concat(quoted, F.lit(" is not a page number or a range")))
-        .when(F.size(bad) > 1, F.concat(quoted, F.lit(" are not a page number or a range")))
-        .when(F.size(turned) > 0, F.concat(F.lit('the range "'), F.get(turned, F.lit(0)), F.lit('" starts after it ends')))
-    )
 
+    def ends(p: Column) -> Column:
+        return F.transform(F.split(p, "-"), lambda x: x.try_cast("long"))
 
-def range_bounds(c: Column) -> Column:
-    """Array of ``{lo, hi}`` of a valid page-range text."""
-    parts = F.transform(F.split(c, ","), trimmed)
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            F.regexp_extract(p, r"^(\d+)", 1).try_cast("long").alias("lo"),
-            F.regexp_extract(p, r"(\d+)$", 1).try_cast("long").alias("hi"),
-        ),
-    )
+    malformed = F.filter(parts, lambda p: ~p.rlike(RANGE))
+    backwards = F.filter(parts, lambda p: F.coalesce(F.get(ends(p), F.lit(0)) > F.get(ends(p), F.lit(1)), F.lit(False)))
+
+    def listed(code: str, found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.concat(F.lit(f"{code}: "), F.array_join(found, ", ")))
+
+    return F.coalesce(listed("malformed", malformed), listed("reversed", backwards))
 
 
 def flag_bits(current: Column, symbolic: Column, italic: Column, fixed: Column) -> Column:

@@ -193,8 +193,8 @@ def corpus_report(pages: DataFrame, extracted: Column, source: Column, key: str
     note = F.when(
         F.col("retention") < floor,
         F.concat(
-            F.lit("text retention "), T.round_half_up(F.col("retention") * 100).cast("string"), F.lit("% of "),
-            F.col("source_words").cast("string"), F.lit(" source words"),
+            F.lit("lost text: "), T.round_half_up(F.col("retention") * 100).cast("string"), F.lit(" of 100 words left, source has "),
+            F.col("source_words").cast("string"),
         ),
     )
     return out.withColumn("notes", F.array_compact(F.array(note))).withColumn("clean", F.size("notes") == 0)
@@ -235,15 +235,8 @@ def unresolved_expansions(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-# The limits of the text flow in em.
-FLOW_REASONS = (
-    ("too_wide", "wide word spaces"),
-    ("jumps", "jumps between blocks"),
-    ("too_thin", "thin word spaces"),
-    ("backwards", "moves back"),
-    ("unreadable", "glyphs without advance"),
-    ("spans", "marked spans"),
-)
+# The counters that make a text flow fragmented, in the order in which they are reported.
+FLOW_REASONS = ("too_wide", "jumps", "too_thin", "backwards", "unreadable", "spans")
 
 
 def text_flow(classified: DataFrame, keys: list[str]) -> DataFrame:
@@ -289,8 +282,8 @@ def flow_reasons(flow: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(
             *[
-                F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {words}")))
-                for c, words in FLOW_REASONS
+                F.when(F.col(c) > 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+                for c in FLOW_REASONS
             ]
         )
     )

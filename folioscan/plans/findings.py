@@ -409,8 +409,8 @@ RANGE_SPEC = (
 
 @query(
     "page_ranges_problem",
-    """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 7 THEN '"0" is not a page number or a range' WHEN l_linenumber = 6 THEN '"a" is not a page number or a range'
-      WHEN cast(l_quantity AS INT) > l_linenumber * 5 THEN concat('the range "', cast(l_quantity AS INT), '-', l_linenumber * 5, '" starts after it ends') END AS problem FROM lineitem)
+    """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 7 THEN 'malformed: 0' WHEN l_linenumber = 6 THEN 'malformed: a'
+      WHEN cast(l_quantity AS INT) > l_linenumber * 5 THEN concat('reversed: ', cast(l_quantity AS INT), '-', l_linenumber * 5) END AS problem FROM lineitem)
     GROUP BY ALL""",
 )
 def page_ranges_problem(spark, sf):

@@ -90,9 +90,9 @@ def text_flow(spark, sf):
 @query(
     "flow_reasons",
     f"""{FLOW_SQL} SELECT doc_id, (breaks > 0 AND (too_wide > 0 OR jumps > 0 OR too_thin > 0 OR backwards > 0)) OR unreadable > 0 AS fragmented,
-    CASE WHEN breaks > 0 OR unreadable > 0 THEN concat_ws('; ', CASE WHEN too_wide > 0 THEN concat(too_wide, ' wide word spaces') END, CASE WHEN jumps > 0 THEN concat(jumps, ' jumps between blocks') END,
-      CASE WHEN too_thin > 0 THEN concat(too_thin, ' thin word spaces') END, CASE WHEN backwards > 0 THEN concat(backwards, ' moves back') END,
-      CASE WHEN unreadable > 0 THEN concat(unreadable, ' glyphs without advance') END) ELSE '' END AS reasons FROM f""",
+    CASE WHEN breaks > 0 OR unreadable > 0 THEN concat_ws('; ', CASE WHEN too_wide > 0 THEN concat('too_wide=', too_wide) END, CASE WHEN jumps > 0 THEN concat('jumps=', jumps) END,
+      CASE WHEN too_thin > 0 THEN concat('too_thin=', too_thin) END, CASE WHEN backwards > 0 THEN concat('backwards=', backwards) END,
+      CASE WHEN unreadable > 0 THEN concat('unreadable=', unreadable) END) ELSE '' END AS reasons FROM f""",
 )
 def flow_reasons(spark, sf):
     return A.flow_reasons(flows(spark, sf)).select("doc_id", "fragmented", "reasons")
@@ -419,7 +419,7 @@ def quality_profile(spark, sf):
     "corpus_report",
     r"""WITH w AS (SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '[A-Za-z0-9\x{00C0}-\x{024F}\x{4E00}-\x{9FFF}]{3,}')) AS source_words,
       len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, CASE WHEN page_id % 3 = 0 THEN '(?s)<h1>(.*?)</h1>' ELSE '(?s)<article>(.*?)</article>' END, 1), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '[A-Za-z0-9\x{00C0}-\x{024F}\x{4E00}-\x{9FFF}]{3,}')) AS got FROM pages)
-    SELECT page_id, source_words, got, round(got / source_words, 9) AS retention, CASE WHEN got / source_words < 0.5 THEN concat('text retention ', floor(got / source_words * 100 + 0.5)::BIGINT, '% of ', source_words, ' source words') ELSE '' END AS notes,
+    SELECT page_id, source_words, got, round(got / source_words, 9) AS retention, CASE WHEN got / source_words < 0.5 THEN concat('lost text: ', floor(got / source_words * 100 + 0.5)::BIGINT, ' of 100 words left, source has ', source_words) ELSE '' END AS notes,
     got / source_words >= 0.5 AS clean FROM w""",
 )
 def corpus_report(spark, sf):

@@ -124,7 +124,7 @@ LENGTH_TEXT = (
     g AS (SELECT len, v, u, count(*) AS n FROM l GROUP BY ALL)
     SELECT len, round(CASE u WHEN 1 THEN v / 25.4::DOUBLE WHEN 2 THEN v WHEN 3 THEN v / 2.54::DOUBLE WHEN 4 THEN v / 72.0::DOUBLE
       WHEN 6 THEN CASE WHEN v = 0 THEN 0 END END, 9) AS inches,
-    CASE WHEN u = 5 THEN 'relative unit' WHEN u = 6 AND v <> 0 THEN 'needs a unit' WHEN u = 7 THEN 'unsupported unit' END AS error, n FROM g""",
+    CASE WHEN u = 5 THEN 'relative' WHEN u = 6 AND v <> 0 THEN 'unit-missing' WHEN u = 7 THEN 'unknown-unit' END AS error, n FROM g""",
 )
 def length_to_inches(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.expr(LENGTH_TEXT).alias("len")).agg(F.count("*").alias("n"))

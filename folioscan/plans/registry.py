@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.sources.readers import spread
+from folioscan.session import SPREAD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,12 @@ TEXTS = {"pages": "page_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of the test data; the text tables are spread over the cores when they are small."""
+    """A table of the test data, as its files are split.
+
+    Only a session that asks for it (``spark.folioscan.spread``, which the local session of tests and bench sets, as their text tables
+    are one row group each) deals the texts out over its cores first. A cluster leaves it unset.
+    """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXTS[name]) if name in TEXTS else df
+    if name in TEXTS and spark.conf.get(SPREAD, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism, TEXTS[name])
+    return df

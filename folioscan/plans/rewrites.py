@@ -208,7 +208,7 @@ def reverse_groups(spark, sf):
     "format_bytes",
     """WITH b AS (SELECT doc_id, n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 37 ELSE 4099 END) AS n FROM documents)
     SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(n / 1048576 * 100 + 0.5) / 100) END AS size,
-    CASE WHEN n = 4099 THEN 'the same size' WHEN n > 4099 THEN concat(n - 4099, ' bytes smaller') ELSE concat(4099 - n, ' bytes larger') END AS change FROM b""",
+    CASE WHEN n = 4099 THEN '0' WHEN n > 4099 THEN concat('-', n - 4099) ELSE concat('+', 4099 - n) END AS change FROM b""",
 )
 def format_bytes(spark, sf):
     n = F.expr("n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 37 ELSE 4099 END)")

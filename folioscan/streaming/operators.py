@@ -37,7 +37,9 @@ def response_failures(df: DataFrame, id_: str = "request_id", delay: str | None
     failed = df.filter((F.col("status") >= 400) & (F.col("type") != "Document") & ~F.col("url").rlike(ICON_URL))
     if df.isStreaming:
         return failed.withWatermark(ts, delay or "10 minutes").dropDuplicatesWithinWatermark([id_])
-    return failed.dropDuplicates([id_])
+    row = F.struct(*[F.col(c) for c in failed.columns])
+    order = F.struct(F.col(ts), F.col("status"), F.col("url"), F.col("type"))
+    return failed.groupBy(F.col(id_).alias("__id")).agg(F.min_by(row, order).alias("row")).select("row.*")
 
 
 def join_failures(requests: DataFrame, failures: DataFrame, bound: str, id_: str = "request_id", delay: str = "0 seconds") -> DataFrame:
@@ -46,12 +48,28 @@ def join_failures(requests: DataFrame, failures: DataFrame, bound: str, id_: str
     f = failures
     if requests.isStreaming:
         r, f = r.withWatermark("req_ts", delay), f.withWatermark("ts", delay)
-    on = (
-        (F.col(id_) == F.col("req_id"))
-        & (F.col("ts") >= F.col("req_ts"))
-        & (F.col("ts") <= F.col("req_ts") + F.expr(f"INTERVAL {bound}"))
-    )
-    return f.join(r, on)
+    return within(f, "ts", r, "req_ts", F.col(id_) == F.col("req_id"), bound, "inner")
+
+
+def within(late: DataFrame, late_ts: str, early: DataFrame, early_ts: str, same: Column, bound: str, how: str) -> DataFrame:
+    """Join rows with rows of the same id at most ``bound`` before them.
+
+    In batch both sides carry a number of spans of that length, so rows of a hot id meet only within two spans: the earlier
+    rows stand in their own span and the next. A stream keeps its state by the watermark instead. ``how``: inner, or left_anti for the
+    earlier rows without a later one.
+    """
+    near = same & (F.col(late_ts) >= F.col(early_ts)) & (F.col(late_ts) <= F.col(early_ts) + F.expr(f"INTERVAL {bound}"))
+    if late.isStreaming or early.isStreaming:
+        return late.join(early, near, how)
+
+    def span(ts: str) -> Column:
+        return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / gap_micros(bound)).cast("bigint")
+
+    if how == "inner":
+        spread = early.withColumn("__span", F.explode(F.array(span(early_ts), span(early_ts) + 1)))
+        return late.withColumn("__late", span(late_ts)).join(spread, near & (F.col("__late") == F.col("__span"))).drop("__late", "__span")
+    spread = late.withColumn("__late", F.explode(F.array(span(late_ts), span(late_ts) - 1)))
+    return early.withColumn("__span", span(early_ts)).join(spread, near & (F.col("__late") == F.col("__span")), how).drop("__span")
 
 
 def deadline_seconds(wanted: Column) -> Column:
@@ -67,8 +85,9 @@ def timeouts(requests: DataFrame, responses: DataFrame, bound: str, id_: str = "
     """
     r = responses.select(F.col(id_).alias("resp_id"), F.col("ts").alias("resp_ts"))
     q = requests
-    if requests.isStreaming:
-        q, r = q.withWatermark("ts", delay), r.withWatermark("resp_ts", delay)
+    if not requests.isStreaming:
+        return within(r, "resp_ts", q, "ts", F.col(id_) == F.col("resp_id"), bound, "left_anti")
+    q, r = q.withWatermark("ts", delay), r.withWatermark("resp_ts", delay)
     on = (
         (F.col(id_) == F.col("resp_id"))
         & (F.col("resp_ts") >= F.col("ts"))
