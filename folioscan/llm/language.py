@@ -77,8 +77,8 @@ class Model:
     """
 
     def __init__(self, samples: dict[str, str], rows: dict[str, int]):
-        self.langs = sorted(samples, key=lambda x: (-rows.get(x, 0), x))
-        text = {x: folded(samples[x])[0] for x in self.langs}
+        text = {x: p for x, (p, letters) in ((x, folded(t)) for x, t in samples.items()) if letters}
+        self.langs = sorted(text, key=lambda x: (-rows.get(x, 0), x))
         found = np.unique(np.concatenate([*text.values(), np.array([32], np.uint32)])) if text else np.array([32], np.uint32)
         # symbols: 0 no text (padding), 1 a letter no sample has, then the letters of the samples
         self.alphabet = np.ones(0x110000, np.uint8 if len(found) < 250 else np.int32)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows: int
     follows from a hash of the text. Both are parameters; at the defaults a language brings 24,576 characters at most.
 
     The texts with the smallest hashes are taken, so the sample does not depend on the order of rows or on other columns.
-    Rows without a text or a language teach nothing. More than ``max_langs`` languages are refused, as their tables would
+    Rows without a text or a language teach nothing, nor does a language whose sample has no letters. More than ``max_langs`` languages are refused, as their tables would
     not fit a task.
     """
     labelled = docs.select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null and t is not null")

@@ -41,7 +41,25 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_decontamination")
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_SQL = rf"regexp_extract_all({LOW.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION_SQL = f"""
+WITH b AS (SELECT cast(item_id AS VARCHAR) AS item, {ALNUM_SQL} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {ALNUM_SQL} AS w FROM documents),
+s AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, s.n, i, item FROM s JOIN g ON s.n = g.n AND s.g = g.g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op1_decontamination", CONTAMINATION_SQL)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 13 words of the test items in all texts; contaminated from one word in twenty."""
     out = decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -102,7 +120,18 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return replace_entities(read(spark, sf, "documents")).select("doc_id", "n_entities", "text")
 
 
-@query("op8_jaccard_join")
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOW.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z u ON u.doc_id = x JOIN z v ON v.doc_id = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, least(doc_id, (SELECT min(y) FROM r WHERE x = doc_id)) AS class_id, (SELECT count(*) FROM l WHERE x = doc_id) AS n_links FROM documents
+"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All texts with their class of near duplicates (five words, similarity 0.8) and the number of their links."""
     return similar(read(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
