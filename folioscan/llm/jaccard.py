@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.kernel import LOWER, SPACED, chunks, inside, mix, ngram_hashes, word_hashes, words
-from folioscan.llm.rows import map_texts, unclashed, without, written
+from folioscan.llm.rows import Bits, map_texts, unclashed, without, written
 
 # A block of sets that are compared in one task: at most about so many n-grams and so many sets.
 BLOCK_GRAMS = 1 << 19
@@ -97,6 +97,26 @@ def fingerprints(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> D
     return map_texts(docs, text, "_set long, _n long, _bands array<long>", work)
 
 
+def _wanted_sets(n: int, bits):
+    """The sets of the texts that the bitmap does not rule out; of copies in one task, one."""
+
+    def work(batches):
+        done: set[int] = set()
+        for batch in batches:
+            names = np.asarray(batch.column(0))
+            pick = []
+            for i in np.flatnonzero(bits.value.maybe(names)).tolist():
+                if names[i] not in done:
+                    done.add(int(names[i]))
+                    pick.append(i)
+            if pick:
+                hashes, at = gram_sets(batch.column(1).take(pa.array(pick)), n)
+                raw = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[pick], pa.int64()), pa.array(raw, pa.binary())], names=["th", "grams"])
+
+    return work
+
+
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many values each set of a shares with each set of b: values that many sets share as products of 0-1 matrices,
     the others occurrence by occurrence."""
@@ -197,14 +217,9 @@ def _classes(rowed: DataFrame, n: int, percent: int, recall: float, rows: int) -
     member = written(banded.join(groups, "band").groupBy("id", "leader").agg(F.lit(1).alias("one")).drop("one"), "members")
     wanted = written(sets.join(member.groupBy("id").agg(F.collect_set("leader").alias("leaders")), "id"), "wanted")
 
-    def grams(column):
-        hashes, at = gram_sets(column, n)
-        raw = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return [signed(summed(mix(hashes), at)), pa.array(raw, pa.large_binary()).cast(pa.binary())], None
-
-    texts = rowed.select("t", "th").join(wanted.select("th", F.col("id").alias("want")), "th")
-    full = map_texts(texts, "t", "id long, grams binary", grams).where("id = want").select("id", "grams").dropDuplicates(["id"])
-    known = written(full.join(wanted, "id"), "sets")
+    bits = rowed.sparkSession.sparkContext.broadcast(Bits.of(wanted, "th"))
+    full = rowed.select("th", "t").mapInArrow(_wanted_sets(n, bits), "th long, grams binary")
+    known = written(full.join(wanted, "th").dropDuplicates(["id"]), "sets")
 
     load = member.join(known.select("id", "size"), "id").groupBy("leader").agg(F.count("*").alias("m"), F.sum("size").alias("grams_in"))
     cut = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("grams_in") / BLOCK_GRAMS)).cast("int")
@@ -237,7 +252,7 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     1. Texts with equal sets are one set with a number of copies. 2. Each set has ``rows`` minima in each of as many bands as
     find a pair at the threshold with probability ``recall`` (31 bands at the defaults). 3. Shuffled on the band keys, the smallest set of a
     band becomes its leader; sets of one leader are candidates. 4. They are compared on full sets, block against block of
-    bounded size, so a large group is many tasks; each set gets its number of links and a root, pairs are never written.
+    bounded size, so a large group is many tasks (a bitmap of fixed size spares the shuffle most sets without candidates); each set gets its number of links and a root, pairs are never written.
     5. Roots are joined to components.
 
     A null or empty text, or one of white space, links to nothing and is a class of its own. A null key is left out of the

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+class Bits:
+    """A bitmap over hashes: says no only to hashes that are not in it. Its size is fixed, so it may be broadcast whatever it holds."""
+
+    WORDS = 1 << 20
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def of(keys: DataFrame, column: str) -> Bits:
+        """The bitmap of a column of 64-bit hashes. Tasks put the bits together; the driver gets WORDS numbers at most."""
+        bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(`{column}`, 20), 64) AS INT))")
+        found = keys.groupBy(F.pmod(column, F.lit(Bits.WORDS)).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        words = np.zeros(Bits.WORDS, np.int64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy()
+        return Bits(words)
+
+    def maybe(self, hashes) -> np.ndarray:
+        """For each hash: may it be in the set?"""
+        h = np.asarray(hashes, np.int64)
+        return (self.words[h & (self.WORDS - 1)] >> ((h >> 20) & 63)) & 1 == 1
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, as its files are."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm.kernel import Prefix, chunks
-from folioscan.llm.rows import map_texts, without, written
+from folioscan.llm.rows import Bits, map_texts, without, written
 
 GRAM = 16
 BLOCK = 1 << 23
@@ -253,6 +253,17 @@ def _window_rows(length: int):
     return work
 
 
+def _held(bits: Bits, spark: SparkSession, inside: bool = True):
+    """The rows whose first column, a hash, the bitmap does not rule out; or the others."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.maybe(batch.column(0)) == inside))
+
+    return work
+
+
 def _removed(length: int, kept: bool):
     def work(column):
         texts, spans = column.field("t"), column.field("s")
@@ -307,7 +318,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = 400, de
 
     # 4. where anchors of one suffix differ around it, every window is compared
     asked = open_.groupBy("th").agg(F.collect_list(F.struct("lo", "hi", "w")).alias("asked"))
-    windows = rows.join(asked, "th").select("th", "t", "asked").mapInArrow(_window_rows(length), "h long, g long, w long, th long, i long")
+    asked = written(asked, "asked")
+    close = rows.mapInArrow(_held(Bits.of(asked, "th"), spark), rows.schema)
+    windows = close.join(asked, "th").select("th", "t", "asked").mapInArrow(_window_rows(length), "h long, g long, w long, th long, i long")
     windows = written(windows.repartition("h", "g").groupBy("h", "g", "th", "i").agg(F.max("w").alias("w")), "windows")
     again = windows.groupBy("h", "g").agg(F.sum("w").alias("w")).where("w > 1").select("h", "g")
     single = windows.where("w = 1").join(again, ["h", "g"], "left_semi").select("th", F.col("i").alias("lo"), F.col("i").alias("hi"))
@@ -324,17 +337,23 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, de
     1. Suffixes at the anchors are sorted to ``depth`` bytes: each task sorts its own into runs, front-codes them with equal ones
     joined, and sends each piece to the owner of its range; the owners merge with a loser tree. 2. Anchors whose suffix occurs
     again are compared by the bytes of all their windows; equal ones are settled. 3. The windows of the others (the
-    rims of repeated passages) are compared one by one, by two 64-bit hashes. 4. The spans return to their texts.
+    rims of repeated passages) are compared one by one, by two 64-bit hashes. 4. The spans return to their texts. Texts that a
+    bitmap of fixed size rules out are not shuffled.
 
     Null counts as empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each other and lose alike. Columns with
     the names of results are replaced. ``depth`` must lie between GRAM and ``length``.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     base = without(docs, [*names, "_th", "_spans", "_both"])
-    spans = repeated_spans(base, text=text, length=length, depth=depth)
-    hashed = base.withColumn("_th", F.xxhash64(f"`{text}`"))
-    joined = hashed.join(spans.select(F.col("th").alias("_th"), F.col("spans").alias("_spans")), "_th", "left")
-    both = joined.withColumn("_both", F.struct(F.col(f"`{text}`").alias("t"), F.col("_spans").alias("s")))
-    drop = ["_th", "_spans"]
+    spans = written(repeated_spans(base, text=text, length=length, depth=depth), "spans")
+    bits = Bits.of(spans, "th")
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")
-    return without(map_texts(without(both, drop), "_both", added, _removed(length, kept)), ["_both"])
+
+    def cut(rows: DataFrame, found: Column) -> DataFrame:
+        both = rows.withColumn("_both", F.struct(F.col(f"`{text}`").alias("t"), found.alias("s")))
+        return without(map_texts(without(both, ["_th", "_spans"]), "_both", added, _removed(length, kept)), ["_both"])
+
+    hashed = base.select(F.xxhash64(f"`{text}`").alias("_th"), *[F.col(f"`{c}`") for c in base.columns])
+    close, far = (hashed.mapInArrow(_held(bits, docs.sparkSession, inside), hashed.schema) for inside in (True, False))
+    joined = close.join(spans.select(F.col("th").alias("_th"), F.col("spans").alias("_spans")), "_th", "left")
+    return cut(joined, F.col("_spans")).unionByName(cut(far, F.lit(None).cast(spans.schema["spans"].dataType)))
