@@ -22,7 +22,7 @@ from folioscan.llm.kernel import LOWER, SPACED, chunks, mix, word_hashes, words
 from folioscan.llm.rows import written
 from folioscan.session import ensure_checkpoint_dir
 
-RUN_TOKENS = 1 << 22
+RUN_TOKENS = 1 << 20
 SMALL = 5  # counts up to here are discounted
 END = np.uint64(0x5DEECE66D1234567)
 UNKNOWN, START, FIRST = 0, 1, 2
