@@ -23,6 +23,8 @@ GRAM = 16
 BLOCK = 1 << 23
 RUN_SUFFIXES = 1 << 18
 BUCKET_BYTES = 1 << 26
+# Starts that are compared together before they are compared one by one.
+TOGETHER = 8
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -225,30 +227,55 @@ def _anchor_rows(length: int, depth: int):
                     continue
                 base = offset[found.text] - found.at[found.text]
                 u, v = found.reach_hashes()
-                columns = [names[row + found.text], found.lo + base, found.hi + base, found.core_hashes().view(np.int64), u.view(np.int64), v.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["th", "lo", "hi", "core", "u", "v"])
+                columns = [names[row + found.text], found.lo + base, found.hi + base, found.place + base, found.core_hashes().view(np.int64), u.view(np.int64), v.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["th", "lo", "hi", "place", "core", "u", "v"])
+
+    return work
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(hash, bytes, columns of the ranges in question) of each text; copies of a text in one task come once."""
+    done: set[int] = set()
+    for batch in batches:
+        for th, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if th not in done:
+                done.add(th)
+                yield th, np.frombuffer(text.cast(pa.binary()).as_py(), np.uint8), [np.asarray(c, np.int64) for c in asked.values.flatten()]
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of each range, and the number of the range of each."""
+    n = last - first + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n), owner
+
+
+def _rows(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in columns], names=names)
+
+
+def _block_rows(length: int):
+    """For each block of starts, aligned at the anchor, a hash of what all its windows share and two of what they cover."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for th, data, (lo, hi, place, w) in _asked(batches):
+            one, two = Prefix(data, 1), Prefix(data, 2)
+            block, owner = _spread((place - hi) // TOGETHER, (place - lo) // TOGETHER)
+            at, near = place[owner], block * TOGETHER
+            first, last = np.maximum(lo[owner], at - near - TOGETHER + 1), np.minimum(hi[owner], at - near)
+            shared = one.pieces(at - near, at - near - TOGETHER + 1 + length)
+            yield _rows([shared, one.pieces(first, last + length), two.pieces(first, last + length), w[owner], np.full(len(at), th), first, last], ["p", "u", "v", "w", "th", "lo", "hi"])
 
     return work
 
 
 def _window_rows(length: int):
-    """Two hashes of every window in question; copies of a text in one task are looked at once."""
+    """Two hashes of every window in question."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for batch in batches:
-            for th, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if th in done:
-                    continue
-                done.add(th)
-                data = np.frombuffer(text.cast(pa.binary()).as_py(), np.uint8)
-                one, two = Prefix(data, 1), Prefix(data, 2)
-                want = asked.values.flatten()
-                lo, hi, w = (np.asarray(c, np.int64) for c in want)
-                n = hi - lo + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
-                columns = [one.pieces(at, at + length).view(np.int64), two.pieces(at, at + length).view(np.int64), np.repeat(w, n), np.full(len(at), th, np.int64), at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "g", "w", "th", "i"])
+        for th, data, (lo, hi, w) in _asked(batches):
+            at, owner = _spread(lo, hi)
+            yield _rows([Prefix(data, k).pieces(at, at + length) for k in (1, 2)] + [w[owner], np.full(len(at), th), at], ["u", "v", "w", "th", "lo"])
 
     return work
 
@@ -311,21 +338,32 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = 400, de
     cores = written(runs.groupBy("bucket").applyInArrow(_merged(depth), "core long"), "cores")
 
     # 3. anchors at a candidate; those with all their bytes in common are settled
-    flagged = written(rows.mapInArrow(_anchor_rows(length, depth), "th long, lo long, hi long, core long, u long, v long").join(cores, "core", "left_semi"), "anchors")
-    groups = written(flagged.groupBy("core", "u", "v").agg(F.count("*").alias("c"), F.min(F.struct("th", "lo", "hi")).alias("one")), "groups")
-    several = groups.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    open_ = groups.join(several, "core", "left_semi").select("one.*", F.least("c", F.lit(2)).alias("w"))
-
-    # 4. where anchors of one suffix differ around it, every window is compared
-    asked = open_.groupBy("th").agg(F.collect_list(F.struct("lo", "hi", "w")).alias("asked"))
-    asked = written(asked, "asked")
-    close = rows.mapInArrow(_held(Bits.of(asked, "th"), spark), rows.schema)
-    windows = close.join(asked, "th").select("th", "t", "asked").mapInArrow(_window_rows(length), "h long, g long, w long, th long, i long")
-    windows = written(windows.repartition("h", "g").groupBy("h", "g", "th", "i").agg(F.max("w").alias("w")), "windows")
-    again = windows.groupBy("h", "g").agg(F.sum("w").alias("w")).where("w > 1").select("h", "g")
-    single = windows.where("w = 1").join(again, ["h", "g"], "left_semi").select("th", F.col("i").alias("lo"), F.col("i").alias("hi"))
-    whole = flagged.join(groups.where("c > 1"), ["core", "u", "v"], "left_semi").select("th", "lo", "hi")
-    return whole.unionByName(single).groupBy("th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    flagged = written(rows.mapInArrow(_anchor_rows(length, depth), "th long, lo long, hi long, place long, core long, u long, v long").join(cores, "core", "left_semi"), "anchors")
+    groups = written(flagged.groupBy("core", "u", "v").agg((F.count("*") > 1).alias("again"), F.min(F.struct("th", "lo", "hi", "place")).alias("one")), "groups")
+    whole = flagged.join(groups.where("again"), ["core", "u", "v"], "left_semi").select("th", "lo", "hi")
+
+    def rims(groups: DataFrame, kin: str, *fields: str) -> DataFrame:
+        """What is compared more closely, one of each group whose kin has other groups: the texts and their ranges."""
+        several = groups.groupBy(kin).agg(F.count("*").alias("n")).where("n > 1").select(kin)
+        open_ = groups.join(several, kin, "left_semi").select("one.*", F.when(F.col("again"), 2).otherwise(1).cast("long").alias("w"))
+        asked = written(open_.groupBy("th").agg(F.collect_list(F.struct(*fields, "w")).alias("asked")), "asked")
+        close = rows.mapInArrow(_held(Bits.of(asked, "th"), spark), rows.schema)
+        return close.join(asked, "th").select("th", "t", "asked")
+
+    # A range stands for others (w = 2), or another place has the same bytes. Places, not rows: a text may be looked at twice.
+    place = F.xxhash64("th", "lo")
+    twice = (F.max("w") > 1) | (F.min(place) < F.max(place))
+
+    # 4. where anchors of one suffix differ around it, blocks of starts are compared, then the starts of the blocks that differ
+    texts = rims(groups, "core", "lo", "hi", "place")
+    blocks = written(texts.mapInArrow(_block_rows(length), "p long, u long, v long, w long, th long, lo long, hi long"), "blocks")
+    classes = written(blocks.groupBy("p", "u", "v").agg(twice.alias("again"), F.min(F.struct("th", "lo", "hi")).alias("one")), "classes")
+    parts = blocks.where("w = 1").join(classes.where("again"), ["p", "u", "v"], "left_semi").select("th", "lo", "hi")
+    texts = rims(classes, "p", "lo", "hi")
+    windows = written(texts.mapInArrow(_window_rows(length), "u long, v long, w long, th long, lo long"), "windows")
+    again = windows.groupBy("u", "v").agg(twice.alias("again")).where("again")
+    single = windows.where("w = 1").join(again, ["u", "v"], "left_semi").select("th", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(parts).unionByName(single).groupBy("th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, depth: int = 96, kept: bool = True) -> DataFrame:
@@ -336,8 +374,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, de
 
     1. Suffixes at the anchors are sorted to ``depth`` bytes: each task sorts its own into runs, front-codes them with equal ones
     joined, and sends each piece to the owner of its range; the owners merge with a loser tree. 2. Anchors whose suffix occurs
-    again are compared by the bytes of all their windows; equal ones are settled. 3. The windows of the others (the
-    rims of repeated passages) are compared one by one, by two 64-bit hashes. 4. The spans return to their texts. Texts that a
+    again are compared by the bytes of all their windows; equal ones are settled. 3. The others (the rims of repeated
+    passages) are compared in blocks of eight starts, and where these differ start by start, by two 64-bit hashes. 4. The spans return to their texts. Texts that a
     bitmap of fixed size rules out are not shuffled.
 
     Null counts as empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each other and lose alike. Columns with
