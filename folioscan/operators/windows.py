@@ -189,11 +189,9 @@ def assemble_text(tokens: DataFrame, key: str, names: tuple[str, ...]) -> DataFr
         .withColumn("owner", F.last(opened, ignorenulls=True).over(per_level))
         .filter((F.col("depth") > 0) & F.col("owner").isNotNull())
     )
-    pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("idx", "token"))))
-    joined = F.array_join(F.transform(pairs, lambda p: p["token"]), "")
-    return owner.groupBy(key, F.col("owner.idx").alias("idx"), F.col("owner.tag").alias("tag")).agg(
-        normalize_text(H.decode_entities(joined)).alias("text")
-    )
+    pieces = owner.groupBy(key, "owner").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("idx", "token")))).alias("pieces"))
+    joined = pieces.select(key, "owner.*", F.array_join(F.transform("pieces", lambda p: p["token"]), "").alias("raw"))
+    return joined.select(key, "idx", "tag", normalize_text(H.decode_entities(F.col("raw"))).alias("text"))
 
 
 def running_position(df: DataFrame, keys: list[str], order: list[str], advance: Column, restart: Column, origin: Column | None = None, name: str = "x") -> DataFrame:
