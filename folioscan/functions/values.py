@@ -44,6 +44,14 @@ def volatile_title(c: Column) -> Column:
     return F.coalesce(c.rlike(VOLATILE_TITLE), F.lit(False))
 
 
+def steady_title(title: Column, url: Column) -> Column:
+    """The title, or where it is volatile the host of the page, else the last part of its path, else ``document``."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)", 1)
+    last = F.try_element_at(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(-1))
+    host = F.nullif(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    return F.when(volatile_title(title), F.coalesce(host, last, F.lit("document"))).otherwise(title)
+
+
 def default_name(c: Column) -> Column:
     """Output name of a URL or path: its last segment without ``.html``."""
     url_path = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)", 1)

@@ -227,9 +227,10 @@ def wrap_illegal_children(nodes: DataFrame, edges: DataFrame, doc: str = "doc_id
     )
 
 
-def tree_table(walk: DataFrame, nodes: DataFrame, doc: str = "doc_id", node: str = "node", role: str = "role") -> DataFrame:
-    """One row per node in reading order: ``doc, node, depth, role, kids`` with kids as ``role x count``."""
-    named = walk.join(nodes.select(doc, F.col(node).alias("node"), F.col(role).alias("role")), [doc, "node"])
+def tree_table(walk: DataFrame, nodes: DataFrame, doc: str = "doc_id", node: str = "node", role: str = "role", descr: str | None = None) -> DataFrame:
+    """One row per node in reading order: ``doc, node, depth, role, kids`` with kids as ``role x count``, and ``descr`` if there is one."""
+    given = F.lit(None).cast("string") if descr is None else F.col(descr)
+    named = walk.join(nodes.select(doc, F.col(node).alias("node"), F.col(role).alias("role"), given.alias("descr")), [doc, "node"])
     counts = (
         named.filter(F.col("depth") > 0)
         .select(doc, F.try_element_at("trail", F.lit(-2)).alias("node"), F.col("role").alias("kid"))
@@ -238,4 +239,4 @@ def tree_table(walk: DataFrame, nodes: DataFrame, doc: str = "doc_id", node: str
         .groupBy(doc, "node")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kid", "n"))), lambda k: F.concat(k["kid"], F.lit("x"), k["n"].cast("string"))), " ").alias("kids"))
     )
-    return named.join(counts, [doc, "node"], "left").select(doc, "node", "path", "depth", "role", F.coalesce("kids", F.lit("")).alias("kids"))
+    return named.join(counts, [doc, "node"], "left").select(doc, "node", "path", "depth", "role", F.coalesce("kids", F.lit("")).alias("kids"), "descr")

@@ -69,6 +69,15 @@ def pair_by_position(a: DataFrame, b: DataFrame, key: str, order: list[str], val
     return pairs, refused
 
 
+def fill_parts(targets: DataFrame, parts: DataFrame, values: DataFrame, keys: list[str], part: str, value: str) -> DataFrame:
+    """Fill the parts of each target; a target without parts takes the value itself (``part`` is null there).
+
+    ``targets``: ``keys, value``; ``parts``: ``keys, part, value``; ``values``: ``keys, value``, one row per key.
+    """
+    bare = targets.join(parts.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(None).cast(parts.schema[part].dataType).alias(part), value)
+    return fill_missing(parts.select(*keys, part, value).unionByName(bare), values, keys, value)
+
+
 def fill_missing(target: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Write a value where the target has none: adds ``filled`` and ``changed``.
 

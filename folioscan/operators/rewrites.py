@@ -121,7 +121,7 @@ def pin_dates(c: Column, epoch: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """``{same, at, left, right}``: 0-based first differing position (-1 where one text is a prefix of the other).
+    """``{same, at, left, right, left_length, right_length}``: 0-based first differing position (-1 where one text is a prefix of the other).
 
     Found by halving: the longest common prefix is searched in 31 steps of substring comparisons, so a
     long text is not taken apart into characters.
@@ -141,6 +141,8 @@ def first_difference(a: Column, b: Column) -> Column:
         F.when(~same, at).alias("at"),
         F.when(~same & (at >= 0), F.substr(a, start, size)).alias("left"),
         F.when(~same & (at >= 0), F.substr(b, start, size)).alias("right"),
+        F.length(a).alias("left_length"),
+        F.length(b).alias("right_length"),
     )
 
 

@@ -179,9 +179,10 @@ def wrapped_bodies(spark, sf):
     "tree_table",
     f"""WITH {TREE_SQL}, kc AS (SELECT page_id, parent_idx, tag, count(*) AS n FROM tree WHERE parent_idx IS NOT NULL GROUP BY ALL),
     k AS (SELECT page_id, parent_idx, string_agg(concat(tag, 'x', n), ' ' ORDER BY tag) AS kids FROM kc GROUP BY ALL)
-    SELECT t.page_id, t.idx AS node, t.depth, t.tag AS role, coalesce(kids, '') AS kids FROM tree t LEFT JOIN k ON t.page_id = k.page_id AND t.idx = k.parent_idx""",
+    SELECT t.page_id, t.idx AS node, t.depth, t.tag AS role, coalesce(kids, '') AS kids, CASE WHEN t.idx % 2 = 0 THEN concat(t.tag, t.idx) END AS descr FROM tree t LEFT JOIN k ON t.page_id = k.page_id AND t.idx = k.parent_idx""",
 )
 def tree_table(spark, sf):
     t = written(spark, sf)
-    out = G.tree_table(walk(t), t, "page_id", "idx", "tag")
-    return out.select("page_id", F.col("node").cast("bigint").alias("node"), F.col("depth").cast("bigint").alias("depth"), "role", "kids")
+    described = t.withColumn("descr", F.when(F.col("idx") % 2 == 0, F.concat("tag", F.col("idx").cast("string"))))
+    out = G.tree_table(walk(t), described, "page_id", "idx", "tag", "descr")
+    return out.select("page_id", F.col("node").cast("bigint").alias("node"), F.col("depth").cast("bigint").alias("depth"), "role", "kids", "descr")

@@ -97,6 +97,21 @@ def fill_missing(spark, sf):
     return out.select("conv_id", "turn", F.md5(F.coalesce("filled", F.lit(""))).alias("digest"), "changed")
 
 
+@query(
+    "fill_parts",
+    """WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS v FROM orders),
+    p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS part, CASE WHEN l_linenumber % 2 = 0 THEN 'own' END AS v FROM lineitem WHERE l_orderkey % 4 > 0),
+    u AS (SELECT k, part, v FROM p UNION ALL SELECT k, NULL, v FROM t WHERE k NOT IN (SELECT k FROM p))
+    SELECT u.k, part, coalesce(v, o_orderstatus) AS filled, v IS NULL AND o_orderstatus IS NOT NULL AS changed FROM u LEFT JOIN orders ON o_orderkey = u.k""",
+)
+def fill_parts(spark, sf):
+    orders = table(spark, sf, "orders")
+    targets = orders.select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS v"))
+    parts = table(spark, sf, "lineitem").filter("l_orderkey % 4 > 0").selectExpr("l_orderkey AS k", "l_linenumber AS part", "CASE WHEN l_linenumber % 2 = 0 THEN 'own' END AS v").distinct()
+    values = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    return J.fill_parts(targets, parts, values, ["k"], "part", "v").select("k", "part", "filled", "changed")
+
+
 @query(
     "match_by_text",
     r"""WITH l AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS k FROM documents),

@@ -123,9 +123,7 @@ RUNS_SQL = r"""lines AS (SELECT doc_id, i AS ln, l[i] AS line FROM (SELECT doc_i
       CASE WHEN pos % 11 = 0 THEN 'space-between' ELSE 'normal' END AS justify, 16.0 AS font_size, CASE WHEN pos % 7 = 0 THEN 4.0 ELSE 0.0 END AS margin FROM words)"""
 
 
-@query(
-    "wide_gaps",
-    f"""WITH {RUNS_SQL}, a AS (SELECT *, coalesce((top - lag(top) OVER (PARTITION BY page_id ORDER BY top, "left", element) > 2)::INT, 0) AS nr FROM runs),
+GAPS_SQL = f"""WITH {RUNS_SQL}, a AS (SELECT *, coalesce((top - lag(top) OVER (PARTITION BY page_id ORDER BY top, "left", element) > 2)::INT, 0) AS nr FROM runs KEPT),
     b AS (SELECT *, sum(nr) OVER (PARTITION BY page_id ORDER BY top, "left", element ROWS UNBOUNDED PRECEDING) AS rw FROM a),
     c AS (SELECT *, lag("right") OVER w AS p_right, lag(top) OVER w AS p_top, lag(height) OVER w AS p_height, lag(element) OVER w AS p_element, lag(display) OVER w AS p_display,
       lag(column_gap) OVER w AS p_gap, lag(justify) OVER w AS p_justify, lag(margin) OVER w AS p_margin, row_number() OVER w AS at_ FROM b WINDOW w AS (PARTITION BY page_id ORDER BY rw, "left", element, "right")),
@@ -135,8 +133,10 @@ RUNS_SQL = r"""lines AS (SELECT doc_id, i AS ln, l[i] AS line FROM (SELECT doc_i
     f AS (SELECT page_id, cause, element, floor(top / 8 + 0.5) AS band, arg_min(concat(p_element, ' -> ', element), at_) AS selector, arg_min(text, at_) AS text, arg_min(floor(e * 100 + 0.5) / 100, at_) AS em,
       arg_min(floor(top + 0.5), at_) AS top, min(at_) AS at_ FROM d GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY em DESC, at_) AS rank FROM f)
-    SELECT page_id, selector, text, em, top::BIGINT AS top, cause FROM r""",
-)
+    SELECT page_id, selector, text, em, top::BIGINT AS top, cause FROM r"""
+
+
+@query("wide_gaps", GAPS_SQL.replace("KEPT", ""))
 def wide_gaps(spark, sf):
     return W.wide_gaps(text_runs(spark, sf))
 
@@ -155,7 +155,7 @@ def text_runs(spark, sf):
     )
 
 
-@query("gaps_probe", None)
+@query("gaps_probe", GAPS_SQL.replace("KEPT", "WHERE text <> ''"))
 def gaps_probe(spark, sf):
     """The named probe, prepared by a hook that keeps the runs of wide lines."""
     from folioscan.operators.probes import run_probe

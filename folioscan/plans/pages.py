@@ -359,7 +359,7 @@ def fix_volatile_title(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id",
         volatile.alias("volatile"),
-        F.when(volatile, F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("document"))).otherwise(title).alias("title"),
+        V.steady_title(title, F.col("url")).alias("title"),
     )
 
 

@@ -119,12 +119,12 @@ VARIANT = (
 @query(
     "first_difference",
     """SELECT doc_id, doc_id % 4 = 0 AS same, CASE WHEN doc_id % 4 = 1 THEN -1 WHEN doc_id % 4 > 1 THEN doc_id % length(text) END AS at_pos,
-    CASE WHEN doc_id % 4 > 1 THEN md5(substr(text, greatest(doc_id % length(text) - 30, 0)::INT + 1, (doc_id % length(text) + 20 - greatest(doc_id % length(text) - 30, 0))::INT)) END AS context FROM documents""",
+    CASE WHEN doc_id % 4 > 1 THEN md5(substr(text, greatest(doc_id % length(text) - 30, 0)::INT + 1, (doc_id % length(text) + 20 - greatest(doc_id % length(text) - 30, 0))::INT)) END AS context, length(text) AS n_left FROM documents""",
 )
 def first_difference(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.expr(VARIANT).alias("variant"))
     diff = d.select("doc_id", R.first_difference(F.col("text"), F.col("variant")).alias("d"))
-    return diff.select("doc_id", "d.same", F.col("d.at").cast("bigint").alias("at_pos"), F.md5("d.left").alias("context"))
+    return diff.select("doc_id", "d.same", F.col("d.at").cast("bigint").alias("at_pos"), F.md5("d.left").alias("context"), F.col("d.left_length").cast("bigint").alias("n_left"))
 
 
 @query("apply_by_index", "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN concat('[', turn, ']') ELSE md5(text) END AS digest, turn % 3 = 1 AS replaced FROM conversations")

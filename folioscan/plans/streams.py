@@ -113,6 +113,17 @@ def errors(df):
     return df.filter("event_type = 'error'").select(F.col("user_id").alias("request_id"), "ts", "event_id")
 
 
+MAIN_SQL = """WITH m AS (SELECT user_id AS page_id, ts, 200 + floor(value)::INT * 10 AS status, CASE WHEN value > 50 THEN concat('e', event_id) END AS error FROM events WHERE event_type = 'view')
+    SELECT page_id, arg_max(status, (ts, status)) AS main_status, arg_min(error, (ts, error)) FILTER (error IS NOT NULL) AS main_error FROM m GROUP BY page_id"""
+
+
+@query("main_responses", MAIN_SQL)
+def main_responses(spark, sf):
+    given = answers(batch_events(spark, sf).filter("event_type = 'view'"))
+    own = batch_events(spark, sf).select(F.col("event_id").alias("request_id"), F.col("user_id").alias("page_id"), F.expr("CASE WHEN value > 50 THEN concat('e', event_id) END AS error"))
+    return S.main_responses(given.join(own, "request_id"), "page_id")
+
+
 JOIN_SQL = """SELECT e.event_id, e.user_id AS request_id, concat('/c/', c.event_id) AS req_url FROM events e JOIN events c ON e.user_id = c.user_id AND c.event_type = 'click' AND e.event_type = 'error'
     AND e.ts >= c.ts AND e.ts <= c.ts + INTERVAL 2 HOURS"""
 

@@ -42,6 +42,15 @@ def response_failures(df: DataFrame, id_: str = "request_id", delay: str | None
     return failed.groupBy(F.col(id_).alias("__id")).agg(F.min_by(row, order).alias("row")).select("row.*")
 
 
+def main_responses(df: DataFrame, key: str, ts: str = "ts", error: str = "error") -> DataFrame:
+    """Of the main document of each page the latest status and the first error: ``key, main_status, main_error``; null where none came."""
+    main = df.filter(F.col("type") == "Document")
+    return main.groupBy(key).agg(
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.struct(ts, "status"))).alias("main_status"),
+        F.min_by(error, F.when(F.col(error).isNotNull(), F.struct(ts, error))).alias("main_error"),
+    )
+
+
 def join_failures(requests: DataFrame, failures: DataFrame, bound: str, id_: str = "request_id", delay: str = "0 seconds") -> DataFrame:
     """Failures with the address of the request before them, within a time bound."""
     r = requests.select(F.col(id_).alias("req_id"), F.col("url").alias("req_url"), F.col("ts").alias("req_ts"))
