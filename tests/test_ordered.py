@@ -45,10 +45,10 @@ def test_scan_equals_windows(hot, chunks):
     same(got, want)
 
 
-def test_null_key_is_refused(spark):
-    df = spark.createDataFrame([(None, 1)], "k long, t long")
-    with pytest.raises(Exception, match="key k is null"):
-        O.numbered(df, ["k"], ["t"]).collect()
+def test_null_key_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 1), (None, 3), (None, 2)], "k string, pos int")
+    got = {(r["k"], r["pos"]): r["rn"] for r in O.numbered(df, ["k"], ["pos"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, (None, 3): 3, ("a", 1): 1}
 
 
 @pytest.mark.parametrize("chunks", [1, 5, 64])
@@ -197,7 +197,7 @@ def test_diffused_round_keeps_the_total(spark, hot):
 def test_range_expansion_caps(spark):
     rows = [(1, 1, 10, 0), (5, 4, 0, 1), (0, 2_000_000_000, 0, 2), (65530, 65600, 1, 3), (1, 3, 100, 4)]
     df = spark.createDataFrame(rows, "lo long, hi long, base long, ord long")
-    got = {r["code"]: r["value"] for r in R.expand_ranges(df, []).collect()}
+    got = {r["code"]: r["value"] for r in R.expand_ranges(df, [], max_span=65535, max_code=65535).collect()}
     assert got[1] == 100 and got[3] == 102 and max(got) == 65535 and len(got) == 9
 
 
