@@ -13,7 +13,7 @@ from folioscan.llm.kernel import LOWER, SPACED, chunks, inside, mix, ngram_hashe
 from folioscan.llm.rows import Bits, map_texts, unclashed, without, written
 
 # A block of sets that are compared in one task: at most about so many n-grams and so many sets.
-BLOCK_GRAMS = 1 << 19
+BLOCK_GRAMS = 1 << 18
 BLOCK_SETS = 256
 
 
@@ -85,14 +85,17 @@ def signed(values: np.ndarray) -> pa.Array:
 def fingerprints(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
     """Add ``_set`` (the hash of the n-gram set, null without words), ``_n`` (its size) and ``_bands`` (a key per band)."""
 
-    def work(column):
+    def part(column):
         hashes, at = gram_sets(column, n)
         size = np.diff(at)
         keys = band_keys(hashes, at, bands, rows)
         offsets = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), signed(np.ascontiguousarray(keys).reshape(-1)))
-        ids = pa.array(summed(mix(hashes), at).view(np.int64), pa.int64(), mask=size == 0)
-        return [ids, pa.array(size, pa.int64()), lists], None
+        return pa.array(summed(mix(hashes), at).view(np.int64), pa.int64(), mask=size == 0), pa.array(size, pa.int64()), lists
+
+    def work(column):  # few texts at a time, so that the memory follows the texts and not the batch
+        parts = [part(column.slice(k, 1000)) for k in range(0, len(column), 1000)]
+        return [pa.concat_arrays(x) for x in zip(*parts, strict=True)], None
 
     return map_texts(docs, text, "_set long, _n long, _bands array<long>", work)
 
@@ -130,7 +133,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     in_a, in_b = shared[at_a] == ha, shared[at_b] == hb
     rows_a, at_a, rows_b, at_b = rows_a[in_a], at_a[in_a], rows_b[in_b], at_b[in_b]
     count_a, count_b = np.bincount(at_a, minlength=len(shared)), np.bincount(at_b, minlength=len(shared))
-    common = count_a * count_b > 256
+    common = count_a * count_b > 16
 
     order = np.argsort(at_b, kind="stable")
     rows_b, at_b = rows_b[order], at_b[order]

@@ -25,7 +25,7 @@ KINDS[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
 KINDS[ord("0") : ord("9") + 1] = DIGIT
 KINDS[ord("a") : ord("z") + 1] = LETTER
 KINDS[0x80:] = LETTER
-FORGET = 600_000
+FORGET = 250_000
 
 
 def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
