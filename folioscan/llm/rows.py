@@ -49,6 +49,7 @@ def map_texts(df: DataFrame, text: str, added: str, work: Callable, drop: bool =
             columns, mask = work(batch.column(at))
             out = pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(columns), names=labels)
             yield out.filter(mask) if mask is not None else out
+        pa.default_memory_pool().release_unused()  # a worker serves many tasks
 
     return base.mapInArrow(run, schema)
 

@@ -20,8 +20,9 @@ from folioscan.llm.kernel import Prefix, chunks
 from folioscan.llm.rows import Bits, map_texts, without, written
 
 GRAM = 16
-BLOCK = 1 << 23
-RUN_SUFFIXES = 1 << 18
+# Bytes whose anchors are looked for together; a longer text comes in pieces.
+BLOCK = 1 << 19
+RUN_SUFFIXES = 1 << 17
 BUCKET_BYTES = 1 << 26
 # Starts that are compared together before they are compared one by one.
 TOGETHER = 8
@@ -75,12 +76,12 @@ class Anchors:
 
 def anchored(array, length: int, depth: int) -> Iterator[tuple[int, np.ndarray, Anchors]]:
     """(first row, offset of each text's bytes, anchors) of the texts; a very long text comes in pieces, each start in one of them."""
-    for row, data, at in chunks(array):
-        if len(data) <= BLOCK:
+    for row, data, at in chunks(array, BLOCK):
+        if len(data) <= 2 * BLOCK:
             yield row, np.zeros(len(at) - 1, np.int64), Anchors(data, at, length, depth)
             continue
-        for s in range(0, max(1, len(data) - length + 1), BLOCK // 2):
-            part = data[s : s + BLOCK // 2 + length - 1]
+        for s in range(0, max(1, len(data) - length + 1), BLOCK):
+            part = data[s : s + BLOCK + length - 1]
             yield row, np.array([s]), Anchors(part, np.array([0, len(part)]), length, depth)
 
 
