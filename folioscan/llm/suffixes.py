@@ -312,7 +312,7 @@ def _removed(length: int, kept: bool):
                 at = end
             parts.append(data[at:])
             rest = b"".join(parts)
-            for x, value in zip(out, (len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest), strict=True):
+            for x, value in zip(out, (len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest if kept else None), strict=True):
                 x.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return [pa.array(x, t) for x, t in zip(out, kinds, strict=False)] + ([pa.array(out[4], pa.binary())] if kept else []), None
