@@ -162,7 +162,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows: int
     """Learn the automata from a bounded sample: of each language ``rows`` texts, ``chars`` characters of each at a place that
     follows from a hash of the text. Both are parameters; at the defaults a language brings 24,576 characters at most.
 
-    The texts with the smallest hashes are taken, so the sample does not depend on the order of rows or on other columns.
+    The distinct texts with the smallest hashes are taken, so the sample does not depend on the order of rows, on copies of
+    a text or on other columns; copies count as training rows only where a tie is broken.
     Rows without a text or a language teach nothing, nor does a language whose sample has no letters. More than ``max_langs`` languages are refused, as their tables would
     not fit a task.
     """
@@ -173,7 +174,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows: int
     counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"over {max_langs} languages")
-    first = cut.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("r") <= rows)
+    first = cut.distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("r") <= rows)
     samples: dict[str, list[tuple[int, str]]] = {}
     for r in first.collect():
         samples.setdefault(r.l, []).append((r.r, r.s))

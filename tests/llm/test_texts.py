@@ -15,7 +15,7 @@ import corpus_pipeline
 from folioscan.llm import quality
 from folioscan.llm.decontamination import decontaminate
 from folioscan.llm.jaccard import bands_for, intersections, one_of_each, similar
-from folioscan.llm.language import identify, suffix_automaton
+from folioscan.llm.language import identify, suffix_automaton, train
 from folioscan.llm.packing import pack, pack_documents
 from folioscan.llm.queries import QUERIES, vocabulary
 from folioscan.llm.rows import DOCUMENTS
@@ -89,6 +89,18 @@ def test_language_of_held_out_texts(spark):
     assert identify(odd.limit(0), odd).collect() == []
 
 
+def test_copies_teach_no_more_than_one_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    langs = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    one, two = (docs.where(F.col("lang") == x).dropDuplicates(["text"]).orderBy("doc_id").limit(60).select("text", "lang").localCheckpoint() for x in langs)
+    copied = one.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(1000)).select("text", "lang")
+    plain, many = train(one.union(two)), train(one.union(two).union(copied))
+    own = lambda m: {x: (t.tolist(), b) for x, t, b in zip(m.langs, m.tables, m.bits)}
+    assert own(plain) == own(many)
+    texts = [r.text for r in docs.where(F.col("lang") == langs[0]).select("text").collect()]
+    assert np.mean([x == langs[0] for x in many.predict(texts)[0]]) > 0.95
+
+
 def test_quality_of_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
