@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioscan.llm.rows import without, written
 
 HEX = "0123456789abcdef"
+# Country codes are one digit, the listed two, or three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 # Titles by gender, and given names by script and gender (m, f, either).
 TITLES_M = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н")
@@ -29,7 +31,13 @@ SYLLABLES = {
 LETTERS = {"latin": "bcdfghjklmnpqrst", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
 
 _TITLE = "|".join(sorted((*TITLES_M, *TITLES_F, *TITLES_ANY), key=len, reverse=True))
-_NAME = r"\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?"
+# A part of a name: initials (J. or J.-P., also J.Smith), a word with hyphens and apostrophes (not the 's of a possessive), a bare initial.
+_L = r"[\p{L}\p{M}]"
+_WORD = rf"\p{{Lu}}(?:{_L}++|(?=['’-]\p{{L}}))(?:-{_L}++|['’](?!s(?!{_L})){_L}++)*+"
+_PART = rf"(?:(?:\p{{Lu}}\.-?)++(?:{_WORD})?+|{_WORD}|\p{{Lu}}(?= \p{{Lu}}))"
+_NAME = rf"{_PART}(?: {_PART})*+"
+_TITLES = rf"(?:{_TITLE})\.?+(?: (?:{_TITLE})\.?+(?= ))*+"
+_BEFORE = rf"(?:(?:{'|'.join(INTRODUCTIONS)})(?: {_TITLES}(?= ))?+|{_TITLES}) "
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # One pattern for all types; of two that start at one place the earlier alternative is taken.
 PATTERNS = (
@@ -38,16 +46,19 @@ PATTERNS = (
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\d+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    r"(?<![\d+-])3\d{3}[ -]\d{6}[ -]\d{5}(?!\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
-    r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    r"(?<![\d+])\+\d{1,3}[ .-]?\(0\)(?:[ .-]?\d){6,12}(?!\d)",
+    r"(?<![\d+])\+\d(?:[ .-]?\d){7,14}(?!\d)",
+    r"(?<![\d.-])0[1-9](?:[ .-]\d{2}){4}(?!\d|[.-]\w)",
     r"(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.?|{'|'.join(INTRODUCTIONS)}) {_NAME}",
+    rf"(?<![\p{{L}}\p{{N}}]){_BEFORE}{_NAME}",
 )
 ENTITY = "|".join(PATTERNS)
 # Texts without any of these hold no entity; this spares them the long pattern.
 HINT = rf"[@0-9]|[Pp]assw|[Tt]oken|[Ss]ecret|[Aa]pi_key|AKIA|(?:{_TITLE})[. ]|{'|'.join(INTRODUCTIONS)}"
-KEPT = rf"^(?:(?:[Pp]ass\w+|[Tt]oken|[Ss]ecret|[Aa]pi_key)\s*[=:]\s*[\"']?|(?:(?:{_TITLE})\.?|{'|'.join(INTRODUCTIONS)}) (?=\p{{Lu}}))"
+KEPT = rf"^(?:(?:[Pp]ass\w+|[Tt]oken|[Ss]ecret|[Aa]pi_key)\s*[=:]\s*[\"']?|{_BEFORE}(?=\p{{Lu}}))"
 
 
 def entities(text: Column) -> Column:
@@ -56,8 +67,8 @@ def entities(text: Column) -> Column:
     def parts(raw: Column) -> Column:
         head = F.regexp_extract(raw, KEPT, 0)
         core = F.substr(raw, F.length(head) + 1)
-        digits = F.regexp_replace(raw, "[^0-9]", "")
-        title = F.regexp_extract(head, r"^[^ .]+", 0)
+        digits = F.regexp_replace(raw, r"\(0\)|[^0-9]", "")  # +33 (0)6 is +33 6
+        title = F.regexp_extract(head, rf"^(?:(?:{'|'.join(INTRODUCTIONS)}) )?([^ .]+)", 1)
         kind = (
             F.when(F.contains(raw, F.lit("@")), "email")
             .when(F.rlike(head, F.lit(r"[=:]")), "secret")
@@ -119,7 +130,8 @@ def surrogate(kind: Column, gender: Column, norm: Column, attempt: Column, key:
     ending = F.regexp_extract(norm, r"\.([a-z]{2,})$", 1)
     email = F.concat(local, F.lit("@example."), F.when(ending.isin("com", "org", "net"), ending).otherwise("com"))
 
-    country = F.greatest(F.lit(0), size - 10)
+    # Kept: a country code where there are more than ten digits, and the first two digits behind a leading zero.
+    country = F.when(F.rlike(norm, F.lit("^0")), 2).when(size > 10, F.length(F.regexp_extract(norm, COUNTRY, 0))).otherwise(0)
     phone = F.concat(F.substr(norm, F.lit(1), country), F.translate(F.substr(digest, F.lit(1), F.lit(1)), HEX, "2345678923456789"), F.substr(numbers, F.lit(2), size - country - 1))
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(numbers, F.lit(1), size - 2))
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
@@ -132,9 +144,16 @@ def surrogate(kind: Column, gender: Column, norm: Column, attempt: Column, key:
         parts = [_pick(SYLLABLES[script], F.substr(digest, F.lit(2 + k), F.lit(1))) for k in range(4)]
         extra = F.array_join(F.transform(F.filter(F.split(more, ""), lambda c: c != ""), lambda c: _pick(SYLLABLES[script], c)), "")
         family = F.initcap(F.concat(*parts, extra))
-        return F.when(F.contains(norm, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family)
+        words = F.split(norm, " ")
 
-    name = F.when(F.rlike(norm, F.lit(r"\p{IsCyrillic}")), named("cyrillic")).when(F.rlike(norm, F.lit(r"^[\p{IsLatin} ]+$")), named("latin")).otherwise(_shaped(norm, digest))
+        def short(word: Column, value: Column) -> Column:
+            """An initial stays an initial."""
+            return F.when(F.rlike(word, F.lit(r"^\p{L}\.?$")), F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(word, F.lit(2)))).otherwise(value)
+
+        middle = F.transform(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)), lambda w, i: short(w, _pick(GIVEN[script, "a"], F.substr(digest, F.pmod(i, F.lit(60)) + 6, F.lit(1)))))
+        return F.when(F.contains(norm, F.lit(" ")), F.concat_ws(" ", short(F.get(words, F.lit(0)), given), middle, family)).otherwise(family)
+
+    name = F.when(F.rlike(norm, F.lit(r"\p{IsCyrillic}")), named("cyrillic")).when(F.rlike(norm, F.lit(r"^[\p{IsLatin}\p{M} .'’-]+$")), named("latin")).otherwise(_shaped(norm, digest))
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "id number", F.substr(numbers, F.lit(1), size))
         .when(kind == "ip", octets).when(kind == "access key", F.concat(F.lit("AKIA"), F.upper(_shaped(F.substr(norm, F.lit(5)), digest)))).when(kind == "name", name).otherwise(secret)
@@ -169,22 +188,23 @@ def assign(found: DataFrame, key: str, rounds: int = 60) -> DataFrame:
 
 def _filled(entity: Column, value: Column) -> Column:
     """The surrogate in the format of one occurrence: digits in their places, letters in its case."""
-    core = entity["core"]
+    core = F.replace(entity["core"], F.lit("(0)"), F.lit("(\x01)"))
     digits = F.array_join(
         F.transform(F.split(core, ""), lambda c, i: F.when(F.rlike(c, F.lit(r"\d")), F.substr(value, F.length(F.regexp_replace(F.substr(core, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), ""
     )
     loud = (core == F.upper(core)) & (core != F.lower(core))
     worded = F.when(loud, F.upper(value)).otherwise(value)
-    return F.concat(entity["head"], F.when(entity["kind"].isin("phone", "card", "id number"), digits).when(entity["kind"].isin("email", "name"), worded).otherwise(value))
+    return F.concat(entity["head"], F.when(entity["kind"].isin("phone", "card", "id number"), F.translate(digits, "\x01", "0")).when(entity["kind"].isin("email", "name"), worded).otherwise(value))
 
 
 def replace_entities(docs: DataFrame, *, text: str = "text", key: str = "surrogates", keep_rows: bool = True) -> DataFrame:
     """Replace every entity of ``text`` and add ``n_entities``; rows without one stay untouched.
 
     Types: e-mail, phone, payment card, id number, IP address, access key, secret (value of a password or token), and a name
-    behind a title or an introduction. One entity gets one surrogate in all texts, different entities of a type get different ones,
+    behind titles or an introduction: all capitalised words and initials that follow, with their hyphens and apostrophes. Phones
+    are those of 8 to 15 digits behind a plus sign, and the national forms 602-555-0954, (602) 555-0954 and 06 12 34 56 78. One entity gets one surrogate in all texts, different entities of a type get different ones,
     and no surrogate is an entity that occurs. Kept are the title and gender, the script, the number of digits and their
-    separators, the country code of a phone, the first digit of a card and whether its check digit is right, letter case, and
+    separators, the number of words of a name and its initials' dots, the country code of a phone of more than ten digits, the first digit of a card and whether its check digit is right, letter case, and
     what stands around. ``key`` makes the surrogates; another key gives others.
 
     Only texts with entities are shuffled, by a hash of the text, so copies of a text are worked on once. A null text stays null

@@ -72,6 +72,33 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert again[2] != by[2].text
 
 
+def test_surrogates_leave_no_rest(spark):
+    rows = {
+        1: ("Prof. Maria Garcia Lopez left", r"Prof\. \w+ \w+ \w+ left", "Maria Garcia Lopez"),
+        2: ("Mme Anne-Marie Durand, hier", r"Mme \w+ \w+, hier", "Anne Marie Durand"),
+        3: ("Mr O'Brien's car", r"Mr \w+'s car", "Brien"),
+        4: ("Dr. J. Smith said", r"Dr\. [A-Z]\. \w+ said", "Smith"),
+        5: ("Frau Dr. Karla-Eva von", r"Frau Dr\. \w+ von", "Karla Eva"),
+        6: ("my name is Dr. Jones!", r"my name is Dr\. \w+!", "Jones"),
+        7: ("tel +33 6 12 34 56 78 ici", r"tel \+33 \d \d\d \d\d \d\d \d\d ici", "12 34 56 78"),
+        8: ("tel 06 12 34 56 78 ici", r"tel 06 \d\d \d\d \d\d \d\d ici", "12 34 56 78"),
+        9: ("card 3782 822463 10005.", r"card 3\d{3} \d{6} \d{5}\.", "822463 10005"),
+        10: ("+33 (0)6 12 34 56 78 and +44 20 7946 0958 2024", r"\+33 \(0\)\d \d\d \d\d \d\d \d\d and \+44 \d\d \d{4} \d{4} 2024", "7946 0958"),
+        11: ("Mr Drake met Mr Smith's aunt", r"Mr \w+ met Mr \w+'s aunt", "Drake Smith"),
+        12: ("г-н Салтыков-Щедрин писал", r"г-н [А-Яа-яё]+ писал", "Салтыков Щедрин"),
+    }
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame([(i, x[0]) for i, x in rows.items()], "doc_id long, text string")).collect()}
+    for i, (_, form, gone) in rows.items():
+        assert re.fullmatch(form, got[i]), got[i]
+        assert (gone not in got[i]) if gone[0].isdigit() else not set(re.findall(r"\w+", got[i])) & set(gone.split()), got[i]
+    assert got[7][4:21] == got[10][:20].replace("(0)", "")
+    odd = ["+1 234 567", "1 2 3 4 5 6 7 8", "Mr and Prof said", "on 2024-06-12 at 06:12", "3782-82246-10005", "10.06.12.34.56.78"]
+    kept = replace_entities(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(odd)
+    long = "Mr " + "Ab-Cd " * 20_000 + "end"
+    assert replace_entities(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().text.endswith(" end")
+
+
 def test_surrogates_stay_distinct_in_a_narrow_space(spark):
     found = spark.createDataFrame([("email", "a", f"{chr(97 + i)}@x.com") for i in range(26)] + [("ip", "a", f"10.0.{i}.{j}") for i in range(20) for j in range(20)], "kind string, gender string, norm string")
     got = assign(found, "k").collect()
