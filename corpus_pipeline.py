@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def of_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no text, no letters) go; the models learn from the documents that have a label."""
+    """Documents in which no language is found go; the models learn from the documents that have a label.
+
+    With a model these are the documents without text or letters only: a text in a language that no sample holds stays, under
+    the nearest language. Where no labelled document has letters there is no model, and all documents go.
+    """
     return identify(docs, docs, keep=F.col("lang_pred") != UNKNOWN).select(*DOCUMENTS)
 
 
