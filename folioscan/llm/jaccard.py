@@ -148,7 +148,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     place = np.cumsum(common) - 1
     left_rows, left_at = rows_a[common[at_a]], place[at_a[common[at_a]]]
     right_rows, right_at = rows_b[common[at_b]], place[at_b[common[at_b]]]
-    wide = max(64, (1 << 22) // max(total.shape))
+    wide = max(64, (1 << 19) // max(total.shape))
     for lo in range(0, int(common.sum()), wide):
         x, y = np.zeros((len(a), wide), np.float32), np.zeros((len(b), wide), np.float32)
         pick = (left_at >= lo) & (left_at < lo + wide)

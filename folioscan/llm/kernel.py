@@ -8,8 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-# Bytes of text that are worked on together; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+# Bytes of text that are worked on together; a longer text is a chunk of its own. Each byte takes some 40 bytes of arrays.
+CHUNK = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -91,14 +91,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64; the tables of chunk size are kept."""
+    """1, base, base**2, ... modulo 2**64; only tables of chunk size are kept."""
     have = _POWERS.get(base)
     if have is not None and len(have) >= n:
         return have[:n]
-    out = np.full(max(n, 2), base, np.uint64)
+    out = np.full(max(n, CHUNK + 2), base, np.uint64)
     out[0] = 1
     out = np.multiply.accumulate(out)
-    if n <= CHUNK * 2:
+    if n <= CHUNK + 2:
         _POWERS[base] = out
     return out[:n]
 

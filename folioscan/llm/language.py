@@ -114,7 +114,7 @@ class Model:
             out[k] = ended + 1
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], untrained: str = UNKNOWN) -> tuple[list[str], list[float]]:
         """The language of fewest normalised phrases for each text, and how clear the choice is."""
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         blocks: list[np.ndarray] = []
@@ -132,7 +132,7 @@ class Model:
                 owner.clear()
 
         if not self.tables:
-            return langs, scores
+            return [untrained if t and folded(t)[1] else UNKNOWN for t in texts], scores
         some = []
         for d, text in enumerate(texts):
             if not text:
@@ -181,7 +181,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", rows: int
     return Model({x: " ".join(s for _, s in sorted(own)) for x, own in samples.items()}, counts)
 
 
-def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = 96, chars: int = 256, keep: Column | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = 96, chars: int = 256, keep: Column | None = None, untrained: str = UNKNOWN) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row, from its text alone.
 
     The text is lower-cased, runs of other characters than letters become one space, and the rest is parsed from left to
@@ -190,13 +190,14 @@ def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", lang:
     at a tie the language with more training rows, then the smaller name. ``score`` is runner-up / (runner-up + winner),
     from 0.5 for a tie to 1 where there is one language.
 
-    A null or empty text, and one without letters, is ``und`` with score 0; with nothing to learn from, all are. Labels are
+    A null or empty text, and one without letters, is ``und`` with score 0; with nothing to learn from, texts with letters are
+    ``untrained`` with score 0 (``und`` if not given). Labels are
     not read here, so null labels do not matter; repeated rows get the same answer each. Columns with these names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(training, text=text, lang=lang, rows=rows, chars=chars))
 
     def work(column):
-        langs, scores = model.value.predict(column.to_pylist())
+        langs, scores = model.value.predict(column.to_pylist(), untrained)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], None
 
     out = map_texts(docs, text, RESULT, work)
