@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.decontamination import decontaminate
 from folioscan.llm import quality, rules
+from folioscan.llm.alignment import align
 from folioscan.llm.chat import format_chats
 from folioscan.llm.jaccard import similar
 from folioscan.llm.katz import score_texts
 from folioscan.llm.language import identify
+from folioscan.llm.mixing import mix_totals
 from folioscan.llm.packing import pack_documents
+from folioscan.llm.periodic import find_runs, run_lines
 from folioscan.llm.rows import read, share
 from folioscan.llm.suffixes import remove_repeats
 from folioscan.llm.surrogates import replace_entities
@@ -150,3 +153,79 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     """What remains of every text without strings of 400 bytes that occur again."""
     out = remove_repeats(read(spark, sf, "documents"), kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS h FROM documents),
+g AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, CAST((rank - 1) % 3 + 1 AS BIGINT) AS weight, sum(n) OVER () AS budget FROM g),
+o AS (SELECT *, coalesce(sum(3 * n) OVER f, 0) AS before, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS rest
+  FROM w WINDOW f AS (ORDER BY CAST(3 * n AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, CAST(3 * n AS DOUBLE) / weight <= CAST(budget - before AS DOUBLE) / rest AS stopped FROM o),
+t AS (SELECT source, rank, CAST(n AS BIGINT) AS n, budget, CASE WHEN stopped THEN CAST(3 * n AS DOUBLE)
+    ELSE CAST(weight * (budget - coalesce(sum(3 * n) FILTER (stopped) OVER (), 0)) AS DOUBLE) / sum(weight) FILTER (NOT stopped) OVER () END AS target FROM m),
+c AS (SELECT doc_id, size, n, rank, budget, target, sum(size) OVER (PARTITION BY rank ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, k * n + c AS start, least(size, floor(target) - (k * n + c)) AS words FROM c, range(3) r(k) WHERE size > 0 AND k * n + c < floor(target)),
+p AS (SELECT *, sum(words) OVER (ORDER BY (start + words) / target, rank, start ROWS UNBOUNDED PRECEDING) - words AS position FROM e),
+s AS (SELECT rank, c, doc_id, sum(words) AS taken, min(position) AS first_position FROM p GROUP BY ALL)
+SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, c.n AS source_size, c.target, CAST(coalesce(s.taken, 0) AS BIGINT) AS taken, CAST(s.first_position AS BIGINT) AS first_position
+FROM c LEFT JOIN s ON c.size > 0 AND c.rank = s.rank AND c.c = s.c AND c.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+
+@query("op11_mixing", MIXING_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mix of all sources to weights 1, 2, 3 takes of every text."""
+    return mix_totals(read(spark, sf, "documents"))
+
+
+RUNS_SQL = r"""
+WITH k AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce([k] || range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k))),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM documents, k),
+a AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM h),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM a),
+o AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+p AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+r AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM p) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = r.doc_id AND b.q < r.q AND b.s <= r.s AND b.s + b.l >= r.s + r.l)),
+f AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(l := l, s := -s, q := -q)) AS best, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM m GROUP BY doc_id),
+z AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM m),
+c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM o ANTI JOIN z USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The texts with the tail of one in ten made periodic: from word a on each word is that p places back."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, n = F.floor(h / 10), F.size("_w").cast("long")
+    listed = docs.withColumn("_g", g).withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]++)"), F.lit(1))))
+    placed = listed.withColumn("_a", F.when(n > 0, F.col("_g") % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    at = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("_w", at(i).cast("int"))), " ")
+    return placed.withColumn("text", F.when(F.col("_a").isNotNull(), tail).otherwise(F.col("text"))).drop("_g", "_w", "_a", "_p")
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of four periods and six words or more in all texts."""
+    out = find_runs(planted(read(spark, sf, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = out.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(run_lines().cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """The alignment of two tokenizers over all texts, with the counts of linked ids over the whole table."""
+    out = align(read(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
