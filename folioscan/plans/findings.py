@@ -29,7 +29,11 @@ SEED = (
     "CASE WHEN page_id % 6 = 0 THEN '<select><option>1</option></select><input type=\"hidden\"><input type=\"text\"><button>b</button><textarea></textarea>"
     "<canvas>fallback</canvas><canvas title=\"chart\"></canvas>' ELSE '' END, "
     "CASE WHEN page_id % 7 = 0 THEN '<style>a::after{content: target-counter(attr(href), page)} /* content: leader(x) */ b{content:\"string(\"; color:red}"
-    " i{content: leader(\".\") string(x)}</style>' ELSE '' END)"
+    " i{content: leader(\".\") string(x)}</style>' ELSE '' END, "
+    "CASE WHEN page_id % 8 = 0 THEN '<style>@font-face{font-family:\"Own Face\";src:url(data:x)} body{font-family: \"Own Face\", serif} h1{font-family:Other, serif}"
+    " h2{font-family: serif} h3{font-family:Third; color:red}</style>' ELSE '' END, "
+    "CASE WHEN page_id % 9 = 0 THEN '<div dir=\"rtl\"><p>رقم 2026-10-03 و 971 50 123 4567</p><p>ISO 8601: 2026-10-03</p><bdi dir=\"ltr\">2026-10-03</bdi></div>'"
+    " WHEN page_id % 9 = 3 THEN '<p dir=\"auto\">تاريخ 2026-10-03</p><p>سنة <b>ABC</b> 2026-10-03</p>' ELSE '' END)"
 )
 
 
@@ -49,6 +53,10 @@ COUNTS_SQL = rf"""c AS (SELECT page_id, html,
     {N.format('<canvas[^>]*>[^<]')} AS "canvas-fallback-unnamed",
     {N.format('<canvas title=[^>]*></canvas')} AS "canvas-unpainted",
     CASE WHEN page_id % 7 = 0 THEN 3 ELSE 0 END AS "unsupported-paged-media",
+    CASE WHEN html LIKE '%<figure id="f"><img src="e" alt=""></figure>%' THEN 1 ELSE 0 END AS "figure-uncaptioned",
+    len([x for x in list_distinct(regexp_extract_all(html, 'font-family: ?"?([A-Z][a-z ]*)', 1)) if x NOT LIKE 'Own%']) AS "font-fallback",
+    len(list_distinct(regexp_extract_all(html, ' src="([a-z.]+)"', 1))) AS "subresource-failed",
+    CASE page_id % 9 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS "rtl-digit-run",
     ({N.format(r'<p[ >]')} <> len(regexp_extract_all(replace(html, '"</p>"', ''), '</p>')))::INT
       + ({N.format(r'<b>')} <> {N.format(r'</b>')})::INT AS "output-unverified" FROM s)"""
 LONG_SQL = (
@@ -70,6 +78,34 @@ VERDICT_SQL = f""", m(code, severity) AS (VALUES {SEV_SQL}), j AS (SELECT * FROM
     coalesce(error_codes, '') AS error_codes FROM pages p LEFT JOIN v USING (page_id)"""
 
 
+RTL_SEED = """CASE page_id % 6
+    WHEN 0 THEN concat('<div dir="rtl"><ul><li>رقم 2026-10-', day, '<li>قيمة ', day, '-07-2026 ثم 2026-10-', day, '</ul></div>')
+    WHEN 1 THEN concat('<section style="direction: rtl"><b>رقم</b> <i>+9715012345', day, '</i> <bdi>2026-10-', day, '</bdi></section>')
+    WHEN 2 THEN concat('<table dir="rtl"><tr><td dir="ltr">رقم 2026-10-', day, '<td>ref A: 2026-10-', day, '</table>')
+    WHEN 3 THEN concat('<p dir="auto">تاريخ 2026-10-', day, ' . INV-2026-0147</p><p dir="ltr">رقم 2026-10-', day, '</p><p>2026-10-', day, '</p>')
+    WHEN 4 THEN concat('<style>body, p {direction:rtl}</style><p>رقم 971 50 123 45', day, '<!-- x --> <br>&#1585; 2026-10-', day, '</p>')
+    ELSE '' END"""
+RTL_DAY = "lpad(cast(page_id % 28 + 1 AS {}), 2, '0')"
+
+
+@query(
+    "page_digit_runs",
+    f"""WITH s AS (SELECT page_id, {RTL_DAY.format('VARCHAR')} AS day FROM pages),
+    r AS (SELECT page_id, unnest(CASE page_id % 6
+      WHEN 0 THEN [struct_pack(token := concat('2026-10-', day), occurrences := 2, sample := concat('رقم 2026-10-', day), shown := concat(day, '-10-2026')),
+        struct_pack(token := concat(day, '-07-2026'), occurrences := 1, sample := concat('قيمة ', day, '-07-2026 ثم 2026'), shown := concat('2026-07-', day))]
+      WHEN 1 THEN [struct_pack(token := concat('+9715012345', day), occurrences := 1, sample := concat('+9715012345', day), shown := NULL)]
+      WHEN 4 THEN [struct_pack(token := concat('971 50 123 45', day), occurrences := 1, sample := concat('رقم 971 50 123 45', day), shown := NULL),
+        struct_pack(token := concat('2026-10-', day), occurrences := 1, sample := concat('ر 2026-10-', day), shown := concat(day, '-10-2026'))]
+      ELSE [] END) AS x FROM s)
+    SELECT page_id, x.token AS token, x.occurrences AS occurrences, x.sample AS sample, x.shown AS shown FROM r""",
+)
+def page_digit_runs(spark, sf):
+    """Numbers at risk in right-to-left blocks that are written into the pages."""
+    pages = table(spark, sf, "pages").withColumn("day", F.expr(RTL_DAY.format("STRING")))
+    return FD.page_digit_runs(pages.select("page_id", F.concat("html", F.expr(RTL_SEED)).alias("html")))
+
+
 @query("page_verdict", LONG_SQL + VERDICT_SQL)
 def page_verdict(spark, sf):
     return FD.page_verdict(seeded(spark, sf))
@@ -118,7 +154,7 @@ def json_as_document(spark, sf):
         "CASE event_type WHEN 'click' THEN props WHEN 'view' THEN concat('<pre>', props, '</pre>') WHEN 'error' THEN concat('<h1>x</h1>', props) "
         "WHEN 'signup' THEN concat('value ', props) ELSE concat('<pre></pre><pre></pre><pre></pre>', props) END"
     )
-    found = table(spark, sf, "events").select("event_id", FD.json_as_document(text, H.tags(text)).alias("f"))
+    found = table(spark, sf, "events").select("event_id", FD.json_as_document(H.mask_raw(text), H.tags(text)).alias("f"))
     return found.select("event_id", (F.col("f.n") > 0).alias("json"))
 
 
