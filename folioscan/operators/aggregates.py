@@ -185,19 +185,58 @@ def quality_profile(df: DataFrame, keys: list[str], size: str, pages: str, text:
     )
 
 
-def corpus_report(pages: DataFrame, extracted: Column, source: Column, key: str = "page_id", floor: float = 0.5) -> DataFrame:
-    """Per document: source and extracted words, retention and a note when it is under the floor."""
-    words = pages.select(key, source.cast("bigint").alias("source_words"), extracted.cast("bigint").alias("got"))
-    ratio = F.when(F.col("source_words") > 0, F.col("got") / F.col("source_words")).otherwise(1.0)
-    out = words.withColumn("retention", ratio)
-    note = F.when(
+def corpus_report(
+    pages: DataFrame, extracted: DataFrame, counts: DataFrame | None = None, key: str = "page_id", html: str = "html", text: str = "text", floor: float = 0.5,
+) -> DataFrame:
+    """Per document: ``source_words, got, retention, notes, clean``.
+
+    ``extracted`` holds the text that came out (``key, text``); ``counts`` may hold ``rejected`` (rewrites that did not verify), ``metrics``
+    (font metrics without a source) and ``failed`` (assets that did not load) per document. Notes, in this order: tags
+    that do not balance, rejected rewrites, no text extracted, text under the floor, metrics, ligatures that were not expanded, failed assets.
+
+    Either side becomes numbers and short lists before the join, so no text is shuffled; a document without an extracted text stays.
+    """
+    words = T.source_words_of(F.col(text))
+    ligatures = F.size(F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(T.LIGATURE_BLOCK), F.lit(0))), lambda ch: T.ligature_of(ch).isNotNull()))
+    got = extracted.select(key, words.cast("bigint").alias("words"), ligatures.alias("ligatures")).groupBy(key).agg(F.sum("words").alias("got"), F.max("ligatures").alias("ligatures"))
+    c = F.col(html)
+    judged = pages.select(key, H.source_words(c).cast("bigint").alias("source_words"), H.unbalanced(H.mask_raw(c)).alias("unbalanced")).join(got, key, "left")
+    if counts is not None:
+        judged = judged.join(counts, key, "left")
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("bigint"), F.lit(0)) if counts is not None and name in counts.columns else F.lit(0)
+
+    def counted(n: Column, what: str) -> Column:
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}")))
+
+    found = F.coalesce("got", F.lit(0))
+    ratio = F.when(F.col("source_words") > 0, found / F.col("source_words")).otherwise(1.0)
+    out = judged.withColumn("retention", ratio)
+    lost = F.when(
         F.col("retention") < floor,
         F.concat(
             F.lit("lost text: "), T.round_half_up(F.col("retention") * 100).cast("string"), F.lit(" of 100 words left, source has "),
             F.col("source_words").cast("string"),
         ),
     )
-    return out.withColumn("notes", F.array_compact(F.array(note))).withColumn("clean", F.size("notes") == 0)
+    notes = F.array_compact(
+        F.array(
+            F.when(F.size("unbalanced") > 0, F.concat(F.lit("not verified: "), F.array_join("unbalanced", ", "))),
+            counted(number("rejected"), "rewrites rejected"),
+            F.when(F.col("got").isNull(), "no text extracted"),
+            lost,
+            counted(number("metrics"), "metrics without source"),
+            counted(F.coalesce("ligatures", F.lit(0)), "ligatures left"),
+            counted(number("failed"), "assets failed"),
+        )
+    )
+    return out.select(key, "source_words", found.alias("got"), "retention", notes.alias("notes")).withColumn("clean", F.size("notes") == 0)
+
+
+def corpus_totals(report: DataFrame) -> DataFrame:
+    """One row for a corpus report: ``clean`` documents of ``documents``, and ``observations``, the notes of all."""
+    return report.agg(F.count_if("clean").alias("clean"), F.count("*").alias("documents"), F.coalesce(F.sum(F.size("notes")), F.lit(0)).alias("observations"))
 
 
 def coverage_floor(df: DataFrame, name: str, lines: str, hits: str, floor: float = 85.0, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators.joins import clean_ranges
-from folioscan.operators.ordered import islands, ordered_scan
+from folioscan.operators.ordered import ordered_scan
 
 Rewrite = Callable[[Column], Column]
 Verify = Callable[[Column, Column], Column]
@@ -73,28 +74,51 @@ def idempotent(df: DataFrame, key: str, text: str, rewrite: Rewrite) -> DataFram
     return twice.filter(~F.col("__once").eqNullSafe(F.col("__twice"))).select(key)
 
 
-def merge_runs(df: DataFrame, keys: list[str], order: list[str], value: str, simple: str, block: str) -> DataFrame:
+def _in_blocks(df: DataFrame, keys: list[str], order: list[str], value: str, simple: str, block: str) -> DataFrame:
+    """Items with ``__at`` (their number in the block), ``__ok`` (the block is simple) and ``__run`` (the number of their run)."""
+    part = [*keys, block]
+    ordered = W.partitionBy(*part).orderBy(*order)
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = df.withColumn("__at", F.row_number().over(ordered) - 1).withColumn("__ok", F.bool_and(simple).over(W.partitionBy(*part)))
+    starts = F.col("__ok") & ((F.col("__at") == 0) | ~F.lag(value).over(ordered).eqNullSafe(F.col(value)))
+    return marked.withColumn("__starts", starts).withColumn("__run", F.sum(F.col("__starts").cast("int")).over(upto)).drop("__starts")
+
+
+def merge_runs(
+    df: DataFrame, keys: list[str], order: list[str], value: str, simple: str, block: str, *,
+    text: str | None = None, x: str = "x", width: str = "width", places: int = 3,
+) -> DataFrame:
     """Merge consecutive equal items of a block: ``keys, block, value, first, last, n, state``.
 
     A block with an item that is not simple is refused: its items stay as they are and count as one
-    ``refused`` row, and the other blocks still merge. Runs of one item are ``single``. The sum of ``n`` over a
-    block is its number of items, which is what replaying the merged runs must give back.
+    ``refused`` row, and the other blocks still merge. Runs of one item are ``single``.
+
+    With ``text`` a run also gets ``run`` (its number in the block), ``text`` (that of its items in order), ``start`` (the ``x`` of the first) and ``gaps``: for each item the distance
+    from the end of the one before it (``x`` plus ``width``), rounded to ``places`` so that what one rounding leaves over goes into the next and errors do
+    not add up. ``replay`` rebuilds the places of all items from that. A refused block has no text.
+
+    A block comes from one document. All steps are windows and one aggregate in one partitioning by key and block: the items are shuffled once.
     """
     part = [*keys, block]
-    state = df.groupBy(*part).agg(F.bool_and(simple).alias("ok"), F.count("*").alias("items"))
+    items = _in_blocks(df, keys, order, value, simple, block)
     at = F.struct(*[F.col(c) for c in order])
-    good = df.join(state.filter("ok").select(*part), part, "left_semi")
-    runs = islands(good, part, order, value).withColumn(
-        "state", F.when(F.col("n") > 1, "merged").otherwise("single")
-    )
-    refused = (
-        df.join(state.filter(~F.col("ok")).select(*part), part, "left_semi")
-        .groupBy(*part)
-        .agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
-        .withColumn(value, F.lit(None).cast(df.schema[value].dataType))
-        .withColumn("state", F.lit("refused"))
-    )
-    return runs.unionByName(refused)
+    state = F.when(~F.col("__ok"), "refused").when(F.col("n") > 1, "merged").otherwise("single")
+    base = [F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), F.first("__ok").alias("__ok")]
+    kept = F.min_by(value, "__at").alias("__value")
+    more = []
+    if text is not None:
+        in_run = W.partitionBy(*part, "__run").orderBy("__at")
+        before = in_run.rowsBetween(W.unboundedPreceding, -1)
+        spread = F.col(x) - F.first(x).over(in_run) - F.coalesce(F.sum(width).over(before), F.lit(0))
+        items = items.withColumn("__due", F.round(spread, places))
+        items = items.withColumn("__gap", F.col("__due") - F.lag("__due", 1, 0.0).over(in_run))
+        piece = F.struct(F.col("__at").alias("at"), F.col(text).alias("text"), F.round("__gap", places).alias("gap"))
+        ordered = F.array_sort(F.collect_list(F.when(F.col("__ok"), piece)))
+        base += [ordered.alias("__pieces"), F.min_by(F.when(F.col("__ok"), F.col(x)), "__at").alias("start")]
+        whole = F.when(F.col("__ok"), F.array_join(F.transform("__pieces", lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+        more = [F.col("__run").alias("run"), whole.alias("text"), "start", F.transform("__pieces", lambda p: p["gap"]).alias("gaps")]
+    runs = items.groupBy(*part, "__run").agg(kept, *base)
+    return runs.select(*part, F.when(F.col("__ok"), F.col("__value")).alias(value), "first", "last", "n", state.alias("state"), *more)
 
 
 def _pieces(c: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
@@ -207,11 +231,27 @@ def xmp_packet(title: Column, subject: Column, author: Column, keywords: Column,
     )
 
 
-def replay(df: DataFrame, keys: list[str], order: list[str], merged: DataFrame) -> DataFrame:
-    """Keys whose merged runs do not cover their items one for one."""
-    before = df.groupBy(*keys).agg(F.count("*").alias("items"))
-    after = merged.groupBy(*keys).agg(F.sum("n").alias("covered"))
-    return before.join(after, keys, "full_outer").filter(~F.col("items").eqNullSafe(F.col("covered")))
+def replay(df: DataFrame, merged: DataFrame, keys: list[str], order: list[str], value: str, simple: str, block: str, *, x: str = "x", width: str = "width", eps: float = 0.005) -> DataFrame:
+    """Play merged runs back and compare them with the items: ``keys, block, item, order, value, x, replayed, same``.
+
+    The runs of a block follow each other, and a run names its items by its ``gaps``. An item is placed at the start of its run plus the gaps up to it plus
+    the widths of the items of the run before it. ``same`` says that item and run agree in value and that the place is within ``eps``; an item that
+    no run gives back, or one that the block never had, is not the same. Blocks that were refused are not replayed.
+    """
+    part = [*keys, block]
+    items = _in_blocks(df, keys, order, value, simple, block).where("__ok").select(*part, F.col("__at").alias("item"), *order, F.col(value).alias("__value"), F.col(x).alias("x"), F.col(width).alias("__width"))
+    earlier = W.partitionBy(*part).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = merged.where("state <> 'refused'").withColumn("__offset", F.coalesce(F.sum(F.size("gaps")).over(earlier), F.lit(0)))
+    given = runs.select(*[F.col(c).alias(f"__{c}") for c in part], "run", F.col(value).alias("__given"), "start", "__offset", F.posexplode("gaps").alias("__pos", "__gap"))
+    same_block = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in part]
+    both = items.join(given, [*same_block, F.col("item") == F.col("__offset") + F.col("__pos")], "full_outer")
+    named = both.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in part], F.coalesce("item", F.col("__offset") + F.col("__pos")).alias("item"), *order, F.coalesce("__value", "__given").alias(value), "x", "__value", "__given", "__width", "__gap", "start", "run")
+    upto = W.partitionBy(*part, "run").orderBy("item").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = W.partitionBy(*part, "run").orderBy("item").rowsBetween(W.unboundedPreceding, -1)
+    replayed = F.col("start") + F.sum("__gap").over(upto) + F.coalesce(F.sum("__width").over(ahead), F.lit(0))
+    placed = named.withColumn("replayed", F.when(F.col("run").isNotNull(), replayed))
+    same = F.col("__value").eqNullSafe(F.col("__given")) & (F.abs(F.col("x") - F.col("replayed")) <= eps)
+    return placed.select(*part, "item", *order, value, "x", "replayed", F.coalesce(same, F.lit(False)).alias("same"))
 
 
 __all__ = [

@@ -415,17 +415,35 @@ def quality_profile(spark, sf):
     return A.quality_profile(d, ["source"], "bytes", "pages", "text", english=F.col("lang") == "en", long=F.col("n_chars") > 1000)
 
 
-@query(
-    "corpus_report",
-    r"""WITH w AS (SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '[A-Za-z0-9\x{00C0}-\x{024F}\x{4E00}-\x{9FFF}]{3,}')) AS source_words,
-      len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, CASE WHEN page_id % 3 = 0 THEN '(?s)<h1>(.*?)</h1>' ELSE '(?s)<article>(.*?)</article>' END, 1), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '[A-Za-z0-9\x{00C0}-\x{024F}\x{4E00}-\x{9FFF}]{3,}')) AS got FROM pages)
-    SELECT page_id, source_words, got, round(got / source_words, 9) AS retention, CASE WHEN got / source_words < 0.5 THEN concat('lost text: ', floor(got / source_words * 100 + 0.5)::BIGINT, ' of 100 words left, source has ', source_words) ELSE '' END AS notes,
-    got / source_words >= 0.5 AS clean FROM w""",
-)
-def corpus_report(spark, sf):
+LONG_WORD = r"[A-Za-z0-9\x{00C0}-\x{024F}\x{4E00}-\x{9FFF}]{3,}"
+# What came out of a page: its heading or its article, for one in eleven nothing, for one in five with characters that stand for several letters.
+REPORT_SQL = rf"""WITH w AS (SELECT page_id, html, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '{LONG_WORD}')) AS source_words,
+      CASE WHEN page_id % 11 > 0 THEN len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, CASE WHEN page_id % 3 = 0 THEN '(?s)<h1>(.*?)</h1>' ELSE '(?s)<article>(.*?)</article>' END, 1), '<[^>]+>', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '{LONG_WORD}')) END AS got FROM pages),
+    b AS (SELECT *, coalesce(got, 0) / source_words AS retention, concat_ws(', ', CASE WHEN len(regexp_extract_all(html, '<p>')) <> len(regexp_extract_all(replace(html, '"</p>"', ''), '</p>')) THEN 'p' END,
+      CASE WHEN len(regexp_extract_all(html, '<b>')) <> len(regexp_extract_all(html, '</b>')) THEN 'b' END) AS off FROM w),
+    n AS (SELECT page_id, source_words, coalesce(got, 0) AS got, round(retention, 9) AS retention, list_filter([CASE WHEN off <> '' THEN concat('not verified: ', off) END,
+      CASE WHEN page_id % 7 = 0 THEN '2 rewrites rejected' END, CASE WHEN got IS NULL THEN 'no text extracted' END,
+      CASE WHEN retention < 0.5 THEN concat('lost text: ', floor(retention * 100 + 0.5)::BIGINT, ' of 100 words left, source has ', source_words) END,
+      CASE WHEN page_id % 7 = 0 THEN '1 metrics without source' END, CASE WHEN page_id % 5 = 0 AND got IS NOT NULL THEN '2 ligatures left' END], lambda x: x IS NOT NULL) AS l FROM b)"""
+
+
+def reported(spark, sf):
+    pages = table(spark, sf, "pages")
     part = F.when(F.col("page_id") % 3 == 0, H.heading_of(F.col("html"))).otherwise(F.regexp_extract("html", r"(?is)<article>(.*?)</article>", 1))
-    r = A.corpus_report(table(spark, sf, "pages"), H.source_words(part), H.source_words(F.col("html")))
-    return r.withColumn("retention", F.round("retention", 9)).withColumn("notes", F.array_join("notes", "; "))
+    plain = F.regexp_replace(part, r"(?s)<[^>]+>|&[a-zA-Z#0-9]+;", " ")
+    extracted = pages.where("page_id % 11 > 0").select("page_id", F.concat(plain, F.when(F.col("page_id") % 5 == 0, " \ufb01 \ufb02 \ufb01").otherwise("")).alias("text"))
+    counts = pages.where("page_id % 7 = 0").select("page_id", F.lit(2).alias("rejected"), F.lit(1).alias("metrics"))
+    return A.corpus_report(pages, extracted, counts)
+
+
+@query("corpus_report", REPORT_SQL + " SELECT page_id, source_words, got, retention, array_to_string(l, '; ') AS notes, len(l) = 0 AS clean FROM n")
+def corpus_report(spark, sf):
+    return reported(spark, sf).withColumn("retention", F.round("retention", 9)).withColumn("notes", F.array_join("notes", "; "))
+
+
+@query("corpus_totals", REPORT_SQL + " SELECT count(*) FILTER (len(l) = 0) AS clean, count(*) AS documents, sum(len(l))::BIGINT AS observations FROM n")
+def corpus_totals(spark, sf):
+    return A.corpus_totals(reported(spark, sf))
 
 
 @query(

@@ -90,12 +90,44 @@ def merge_runs(spark, sf):
     return out.select("user_id", "day", "event_type", "n", "state", F.col("first.event_id").alias("first_event"), F.col("last.event_id").alias("last_event"))
 
 
-@query("merge_replays", "SELECT user_id, '' AS day FROM events WHERE false")
+# Items of a day: places and widths are multiples of 1/64, so that sums are exact in any order.
+LAID = "epoch_us(date_trunc('second', ts)) % 86400000000 // 1000000 + (event_id % 64) / 64.0 AS x, floor(value) / 64.0 AS width"
+RUN_SQL = f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, {LAID} FROM events), b AS (SELECT *, bool_and(value < 150) OVER (PARTITION BY user_id, day) AS ok,
+      row_number() OVER w - 1 AS item, coalesce(lag(event_type) OVER w <> event_type, true) AS brk FROM e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(brk::INT) OVER (PARTITION BY user_id, day ORDER BY item) AS run FROM b WHERE ok),
+    g AS (SELECT *, first_value(x) OVER v AS start, coalesce(sum(width) OVER (PARTITION BY user_id, day, run ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0 FROM r WINDOW v AS (PARTITION BY user_id, day, run ORDER BY item)),
+    d AS (SELECT *, round(x - start - w0, 1) AS due FROM g)"""
+
+
+def laid_out(spark, sf):
+    second = F.expr("unix_micros(date_trunc('second', cast(ts AS TIMESTAMP))) % 86400000000 div 1000000")
+    e = table(spark, sf, "events").withColumn("x", second + F.col("event_id") % 64 / F.lit(64.0)).withColumn("width", F.floor("value") / F.lit(64.0))
+    piece = F.concat("event_type", F.lit(" "))
+    return e.select("user_id", "ts", "event_id", "event_type", "x", "width", piece.alias("piece"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") < 150).alias("simple"))
+
+
+BLOCKS = (["user_id"], ["ts", "event_id"], "event_type", "simple", "day")
+
+
+@query(
+    "merge_texts",
+    RUN_SQL + """, z AS (SELECT *, round(due - coalesce(lag(due) OVER (PARTITION BY user_id, day, run ORDER BY item), 0), 1) AS gap FROM d)
+    SELECT user_id, day, run::BIGINT AS run, event_type, count(*) AS n, string_agg(concat(event_type, ' '), '' ORDER BY item) AS text, min(start) AS start,
+      string_agg(CAST(CAST(gap * 10 AS BIGINT) AS VARCHAR), ' ' ORDER BY item) AS gaps FROM z GROUP BY user_id, day, run, event_type""",
+)
+def merge_texts(spark, sf):
+    out = R.merge_runs(laid_out(spark, sf), *BLOCKS, text="piece", places=1).where("state <> 'refused'")
+    gaps = F.array_join(F.transform("gaps", lambda g: F.round(g * 10).cast("bigint").cast("string")), " ")
+    return out.select("user_id", "day", F.col("run").cast("bigint").alias("run"), "event_type", "n", "text", "start", gaps.alias("gaps"))
+
+
+@query("merge_replays", RUN_SQL + " SELECT user_id, day, item, event_id, event_type, x, round(start + w0 + due, 6) AS replayed, true AS same FROM d")
 def merge_replays(spark, sf):
-    """Blocks whose merged runs do not give back their items; there must be none."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") < 150).alias("simple"))
-    merged = R.merge_runs(e, ["user_id"], ["ts", "event_id"], "event_type", "simple", "day")
-    return R.replay(e, ["user_id", "day"], ["ts"], merged).select("user_id", "day")
+    """All items of the merged runs, rebuilt from the runs, beside the places they had."""
+    items = laid_out(spark, sf)
+    merged = R.merge_runs(items, *BLOCKS, text="piece", places=1)
+    out = R.replay(items, merged, *BLOCKS, eps=0.0501)
+    return out.select("user_id", "day", "item", "event_id", "event_type", "x", F.round("replayed", 6).alias("replayed"), "same")
 
 
 @query(
