@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from folioscan.llm.rows import written
 
 SPACE = "▁"
-# Both tokenizers cut before a space behind another character than white space, so a text is worked on in units between such places.
-EDGE = re.compile(r"(?<=\S) ")
-ODD = re.compile(r"^ |\s ")
-# Units remembered in a worker, and the most characters of such a unit.
-FORGET, LONGEST = 100_000, 64
+# Segments remembered in a worker (some 300 bytes each), and the most bytes of their links and groups; texts that are looked up together.
+FORGET, HELD, TOGETHER, LETTERS_TOGETHER = 400_000, 64 << 20, 64, 1 << 20
 # A run of texts ends when it holds so many links or texts.
 RUN_LINKS, RUN_ROWS = 1 << 20, 20_000
 
@@ -34,27 +32,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def ends(tokens: list[bytes]) -> dict[int, int]:
+def ends(sizes: list[int]) -> dict[int, int]:
     """For each byte offset at which a token ends the number of tokens up to there."""
-    at, out = 0, {}
-    for k, t in enumerate(tokens, 1):
-        at += len(t)
-        out[at] = k
-    return out
+    return dict(zip(accumulate(sizes), count(1)))
 
 
-def slices(a: list[bytes], b: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(from, to) among the tokens of a and of b for each group: the stretches between byte offsets where tokens of both end."""
+def slices(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
+    """(from, to) among the tokens of a and of b, given by their sizes, for each group: the stretches between byte offsets where tokens of both end."""
     left, right = ends(a), ends(b)
     out, i, j = [], 0, 0
     for at in sorted(left.keys() & right.keys()):
-        out.append((i, left[at], j, right[at]))
-        i, j = left[at], right[at]
+        m, n = left[at], right[at]
+        out.append((i, m, j, n))
+        i, j = m, n
     return out
 
 
+def open_marks(pieces: list[str]) -> str:
+    """ASCII marks that follow a letter in no piece of a vocabulary, so that none of its tokens reaches from a letter to such a mark."""
+    joined = {m for p in pieces for c, m in zip(p, p[1:]) if c.isalnum() and not c.isdecimal()}
+    return "".join(m for m in map(chr, range(0x21, 0x7F)) if not m.isalnum() and m not in joined)
+
+
 class Pair:
-    """Two tokenizers, and the aligned units that this worker has seen."""
+    """Two tokenizers, and the aligned segments that this worker has seen.
+
+    Both tokenizers cut a text at the places that ``edge`` finds, and what they do on one side does not depend on the other:
+    before a space behind another character than white space, since no token of either goes on behind such a space; where no piece of b holds a line feed,
+    around a single one and before a mark behind a letter, if a always cuts there and no piece of b holds both.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -64,65 +70,108 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        size = self.a.get_vocab_size()
-        self.a_bytes = [bytes(letters[c] for c in t) if t is not None and all(c in letters for c in t) else (t or "").encode() for t in map(self.a.id_to_token, range(size))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
-        self.width = self.b.vocab_size()
+        names = [self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())]
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
+        self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.width = len(pieces)
+        self.bits = (len(names) * len(pieces)).bit_length()
         self.alone = self.b.piece_to_id(SPACE)
+        # b puts a space in front of what it encodes; behind a line feed, which no piece goes beyond, it is told apart
+        self.front = self.b.encode("\n")
+        places = [r"(?<=\S)(?= )"]
+        if not any("\n" in p for p in pieces):
+            places += [r"(?<=\S)(?=\n)", r"(?<=\S\n)(?=\S)"]
+            marks = open_marks(pieces)
+            places += [rf"(?<=[^\W\d_])(?=[{re.escape(marks)}])"] if marks else []
+        self.edge = re.compile("|".join(places))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, bool]] = []
-        self.links: list[np.ndarray] = []
+        self.counts = np.zeros((1 << 12, 4), np.int64)  # ids of a, of b, groups, and 1 if the bytes are not those of the text
+        self.upto = np.zeros((1 << 12) + 1, np.int64)  # where the links of a segment end
+        self.flat = np.zeros(1 << 14, np.int64)
         self.groups: list[bytes] = []
-
-    def learn(self, units: list[str]) -> None:
-        """Align units, each with the space in front that is not part of its name."""
-        ours = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        theirs = self.b.encode(units, num_threads=1)
-        for unit, x, b in zip(units, ours, theirs, strict=True):
-            a, b, data = x.ids, b or [self.alone], (" " + unit).encode()
-            left, right = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-            same = b"".join(left) == data == b"".join(right)
-            cut = slices(left, right) if same else []
-            codes = [x * self.width + y for i, j, m, n in cut for x in a[i:j] for y in b[m:n]]
-            self.known[unit] = len(self.counts)
-            self.counts.append((len(a), len(b), len(cut), same))
-            self.links.append(np.array(codes, np.int64))
-            self.groups.append(";".join(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[m:n])) for i, j, m, n in cut).encode())
+        self.held = 0
+
+    def learn(self, segments: list[str]) -> None:
+        """Align segments; one that does not begin with a space goes on behind another."""
+        ours = self.a.encode_batch_fast(segments, add_special_tokens=False)
+        theirs = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in segments], num_threads=1)
+        a_bytes, b_bytes, a_sizes, b_sizes, width, skip = self.a_bytes, self.b_bytes, self.a_sizes, self.b_sizes, self.width, len(self.front)
+        counts, codes, ends = [], [], []
+        for segment, x, b in zip(segments, ours, theirs, strict=True):
+            a, data = x.ids, segment.encode()
+            b = (b or [self.alone]) if segment[0] == " " else b[skip:]
+            same = b"".join([a_bytes[k] for k in a]) == data == b"".join([b_bytes[k] for k in b])
+            parts = []
+            for i, j, m, n in slices([a_sizes[k] for k in a], [b_sizes[k] for k in b]) if same else ():
+                if j - i == 1 == n - m:
+                    codes.append(a[i] * width + b[m])
+                    parts.append(f"{a[i]}|{b[m]}")
+                else:
+                    codes += [x * width + y for x in a[i:j] for y in b[m:n]]
+                    parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[m:n]))}")
+            counts.append((len(a), len(b), len(parts), not same))
+            ends.append(len(codes))
+            self.known[segment] = len(self.groups)
+            self.groups.append(";".join(parts).encode())
+            self.held += len(self.groups[-1])
+        old, new = len(self.groups) - len(segments), len(self.groups)
+        used = int(self.upto[old])
+        self.counts, self.upto, self.flat = grown(self.counts, new), grown(self.upto, new + 1), grown(self.flat, used + len(codes))
+        self.counts[old:new], self.upto[old + 1 : new + 1], self.flat[used : used + len(codes)] = counts, np.array(ends) + used, codes
+        self.held += 8 * len(codes)
 
     def texts(self, texts: list[str | None], groups: bool) -> Iterator[tuple]:
         """For each text its counts, groups or their hash, and its distinct links with how often each occurs."""
+        part, letters = [], 0
         for text in texts:
-            if not text:
+            part.append(text)
+            letters += len(text or "")
+            if len(part) >= TOGETHER or letters >= LETTERS_TOGETHER:
+                yield from self._texts(part, groups)
+                part, letters = [], 0
+        yield from self._texts(part, groups)
+
+    def _texts(self, texts: list[str | None], groups: bool) -> Iterator[tuple]:
+        cut = [self.edge.split(" " + t) if t else [] for t in texts]
+        if len(self.groups) > FORGET or self.held > HELD:
+            self.clear()
+        segments = list(chain.from_iterable(cut))
+        new = [s for s in dict.fromkeys(segments) if s not in self.known]
+        if new:
+            self.learn(new)
+        where = list(map(self.known.__getitem__, segments))
+        at, sizes = np.array(where, np.int64), np.array(list(map(len, cut)), np.int64)
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.counts[at], axis=0)])
+        sums = running[first[1:]] - running[first[:-1]]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        begin, n = self.upto[at], self.upto[at + 1] - self.upto[at]
+        flat = self.flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        keys, often = np.unique(np.repeat(owner, n) << self.bits | flat, return_counts=True)
+        edges = np.searchsorted(keys, np.arange(len(texts) + 1) << self.bits)
+        n_links = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64).tolist()
+        keys &= (1 << self.bits) - 1
+        for k, (n_a, n_b, n_groups, wrong) in enumerate(sums.tolist()):
+            if wrong or not sizes[k]:
                 yield NOTHING
                 continue
-            units = EDGE.split(text) if ODD.search(text) else text.split(" ")
-            if len(self.counts) > FORGET:
-                self.clear()
-            new = set(units) - self.known.keys()
-            if new:
-                self.learn(sorted(new))
-            at = list(map(self.known.__getitem__, units))
-            which, times = np.unique(np.array(at), return_counts=True)
-            of = [self.counts[k] for k in which.tolist()]
-            if not all(x[3] for x in of):
-                out = NOTHING
-            else:
-                table = np.array([x[:3] for x in of], np.int64)
-                n = (table * times[:, None]).sum(axis=0).tolist()
-                own = [self.links[k] for k in which.tolist()]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                code, back = np.unique(np.concatenate(own), return_inverse=True)
-                often = np.bincount(back, weights=np.repeat(times, sizes)).astype(np.int64)
-                joined = b";".join(map(self.groups.__getitem__, at))
-                out = (*n, int((sizes * times).sum()), joined.decode() if groups else hashlib.sha256(joined).hexdigest(), code, often)
-            yield out
-            for unit in new:
-                if len(unit) > LONGEST:  # not worth keeping: its place in the lists stays, empty
-                    k = self.known.pop(unit)
-                    self.links[k], self.groups[k] = NOTHING[5], b""
+            joined = b";".join(map(self.groups.__getitem__, where[first[k] : first[k + 1]]))
+            own = slice(edges[k], edges[k + 1])
+            yield (n_a, n_b, n_groups, n_links[k], joined.decode() if groups else hashlib.sha256(joined).hexdigest(), keys[own], often[own])
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of twice the size asked for with the same beginning."""
+    if len(array) >= size:
+        return array
+    out = np.zeros((2 * size, *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -220,8 +269,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", tex
     its group. Groups are written ``a1,a2|b1;a3|b2,b3``. The count of a pair of ids is the number of rows that hold it linked;
     ``count_sum`` adds it up over the links of a row, and ``n_best`` counts the links whose count is the highest of their a.
 
-    Both cut before a space that follows another character than white space, so units between such places are aligned once per
-    worker and remembered. A run of texts keeps its links once, as a list; the counts of lists are added up in Spark, and each
+    Texts are cut where both tokenizers always cut (``Pair``), so segments are aligned once per worker and remembered. A run of texts keeps its links once, as a list; the counts of lists are added up in Spark, and each
     run gets the counts of its own list back, so nothing that grows with the input is broadcast, and a frequent pair is one row per run.
 
     A null or empty text, or one whose tokens of a or b do not give back its bytes, has no tokens: zeros and an empty text
