@@ -6,11 +6,16 @@ passed its end. The SQL applies the same bound.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from folioscan.plans.findings import LONG_SQL, SEED, VERDICT_SQL
 from folioscan.plans.registry import query, table
+from folioscan.session import ensure_checkpoint_dir
 from folioscan.streaming import operators as S
-from folioscan.streaming.runner import run_append, run_complete, stream_table
+from folioscan.streaming import stateful as ST
+from folioscan.streaming.runner import run_append, run_updates, stream_table
 
 MARK = "(SELECT epoch_ms(max(ts)) FROM events)"
 
@@ -79,6 +84,18 @@ def debounce_by_next_event(spark, sf):
     return out.select("event_id", "user_id")
 
 
+@query(
+    "debounce_events_stream",
+    f"""WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
+    SELECT event_id, user_id FROM n WHERE event_type = 'purchase' OR (nx IS NULL OR nx - ts >= INTERVAL 6 HOURS) AND ts + INTERVAL 6 HOURS <= epoch_ms({MARK})""",
+)
+def debounce_events_stream(spark, sf):
+    """The same from a stream, as far as the watermark has come: purchases act at once, all else after a quiet time."""
+    e = events(spark, sf).select("event_id", "user_id", "ts", "event_type")
+    out = ST.debounce_events(e, "user_id", "event_id", 6 * 3600 * 1000000, F.col("event_type") == "purchase")
+    return run_append(out.select("event_id", "user_id"), stateful=True)
+
+
 def answers(df):
     """Events as answers: status, kind and address follow from the event."""
     return df.select(
@@ -124,6 +141,14 @@ def main_responses(spark, sf):
     return S.main_responses(given.join(own, "request_id"), "page_id")
 
 
+@query("main_responses_stream", MAIN_SQL)
+def main_responses_stream(spark, sf):
+    """The same while the pages run: each change is an update of its page."""
+    e = events(spark, sf).filter("event_type = 'view'")
+    named = e.select("ts", F.col("user_id").alias("page_id"), (F.lit(200) + F.expr("cast(value AS INT) * 10")).alias("status"), F.lit("Document").alias("type"), F.expr("CASE WHEN value > 50 THEN concat('e', event_id) END AS error"))
+    return run_updates(ST.main_answers(named, "page_id", 365 * 86400 * 1000000), ["page_id"])
+
+
 JOIN_SQL = """SELECT e.event_id, e.user_id AS request_id, concat('/c/', c.event_id) AS req_url FROM events e JOIN events c ON e.user_id = c.user_id AND c.event_type = 'click' AND e.event_type = 'error'
     AND e.ts >= c.ts AND e.ts <= c.ts + INTERVAL 2 HOURS"""
 
@@ -169,7 +194,9 @@ def latest_wins(spark, sf):
 
 @query("latest_wins_stream", LATEST_SQL)
 def latest_wins_stream(spark, sf):
-    return run_complete(S.latest_wins(events(spark, sf).select("user_id", "event_id", "event_type"), "user_id", "event_id"))
+    """Only results that are newer than the newest of their key are written."""
+    newer = ST.newest_results(events(spark, sf).select("user_id", "event_id", "event_type"), "user_id", "event_id")
+    return run_updates(newer, ["user_id"], clock=True)
 
 
 COUNTS_SQL = """SELECT event_type, epoch_us(date_trunc('hour', ts)) AS window_start, count(*) AS events, count(DISTINCT props) AS messages FROM events GROUP BY ALL"""
@@ -210,11 +237,21 @@ def live_profile(spark, sf):
 @query(
     "live_profile_stream",
     f"""WITH w AS (SELECT value, epoch_us(time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '2024-01-01')) AS window_start FROM events) SELECT window_start, count(*) AS n, count(*) FILTER (value < 100) AS ok, count(*) FILTER (value >= 100) AS refused,
-    max(value) AS hi, round(count(*) / 7200, 9) AS per_second FROM w GROUP BY window_start HAVING window_start + 7200000000 <= ({MARK} - 600000) * 1000""",
+    max(value) AS hi, list_sort(list(value))[count(*) // 2 + 1] AS p50, true AS p50_holds, round(count(*) / 7200, 9) AS per_second FROM w GROUP BY window_start HAVING window_start + 7200000000 <= ({MARK} - 600000) * 1000""",
 )
 def live_profile_stream(spark, sf):
-    """The approximate median of the stream is left out of the comparison."""
-    return run_append(profile(events(spark, sf), None)).drop("p50")
+    """The median of the stream comes from a sketch: exact for windows of up to 1,024 runs. ``p50_holds`` compares its rank with the exact one."""
+    live = run_append(profile(events(spark, sf), None))
+    runs = batch_events(spark, sf).select(micros_of_window("2 hours").alias("window_start"), "value")
+    held = live.select("window_start", "p50").join(runs, "window_start").groupBy("window_start").agg(
+        (F.count_if(F.col("value") < F.col("p50")) / F.count("*")).alias("below"), (F.count_if(F.col("value") <= F.col("p50")) / F.count("*")).alias("upto")
+    )
+    bound = F.lit(2 / 1024)
+    return live.join(held, "window_start").withColumn("p50_holds", (F.col("below") <= 0.5 + bound) & (F.col("upto") >= 0.5 - bound)).drop("below", "upto")
+
+
+def micros_of_window(size):
+    return F.unix_micros(F.window("ts", size)["start"])
 
 
 AUDIT_SQL = r"""WITH b AS (SELECT page_id, (len(regexp_extract_all(html, '<p>')) <> len(regexp_extract_all(replace(html, '"</p>"', ''), '</p>')))::INT
@@ -227,6 +264,15 @@ def audit_stream(spark, sf):
     return run_append(S.audit_stream(stream_table(spark, sf, "pages")).select("page_id", "code", "severity", "n"))
 
 
+@query("audit_verdicts_stream", LONG_SQL + VERDICT_SQL)
+def audit_verdicts_stream(spark, sf):
+    """Verdicts of pages as they land, with defects written into them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    pages = stream_table(spark, sf, "pages").select("page_id", "url", F.expr(SEED).alias("html"))
+    S.start_audit(pages, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return S.AuditSink(f"{folder}/out").read(spark, "verdicts")
+
+
 @query(
     "request_deadlines",
     "SELECT event_id, CASE WHEN event_id % 5 = 0 OR value < 1 THEN 30 ELSE least(floor(value), 120)::BIGINT END AS deadline FROM events",

@@ -6,12 +6,12 @@ of ``distinct_errors`` bounds how long a message is remembered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.values import clamp_col
 from folioscan.operators.aggregates import ICON_URL, upper_median
-from folioscan.operators.findings import page_findings, severity_of
+from folioscan.operators.findings import findings_of, page_checks, page_findings, severity_of, verdict_of
 from folioscan.operators.ordered import ordered_scan, sessions
 
 # The deadline of a request and its cap, in seconds.
@@ -142,10 +142,11 @@ def live_counts(df: DataFrame, key: str, size: str, message: str, delay: str = "
     )
 
 
-def live_profile(df: DataFrame, size: str, slide: str | None, ms: str, ok: Column, refused: Column, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
+def live_profile(df: DataFrame, size: str, slide: str | None, ms: str, ok: Column, refused: Column, delay: str = "10 minutes", ts: str = "ts", k: int = 1024) -> DataFrame:
     """Load per window: runs, ok, refused, median, most and runs per second.
 
-    The median of a stream is approximate; the batch form computes the upper median exactly.
+    The batch form computes the upper median exactly. A stream keeps a mergeable sketch per window: the median is exact
+    up to ``k`` runs a window, beyond that its rank is off by about ``1.7 / k`` of the runs (0.2 % at the default).
     """
     work = df.withWatermark(ts, delay) if df.isStreaming else df
     windowed = work.withColumn("w", F.window(ts, size, slide) if slide else F.window(ts, size))
@@ -154,7 +155,9 @@ def live_profile(df: DataFrame, size: str, slide: str | None, ms: str, ok: Colum
         F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(refused).alias("refused"), F.max(ms).alias("hi"),
     ]
     if df.isStreaming:
-        out = windowed.groupBy("w").agg(*aggs, F.percentile_approx(ms, 0.5, 10000).alias("p50"))
+        sketched = windowed.groupBy("w").agg(*aggs, F.kll_sketch_agg_double(F.col(ms).cast("double"), k).alias("sketch"))
+        # a little above one half, so that of an even number the upper middle is taken
+        out = sketched.withColumn("p50", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5 + 1e-4)))
     else:
         out = windowed.groupBy("w").agg(*aggs)
         median = upper_median(windowed.select(F.col("w.start").alias("start"), ms), ["start"], ms)
@@ -183,13 +186,28 @@ def audit_stream(pages: DataFrame) -> DataFrame:
     return page_findings(pages).withColumn("severity", severity_of(F.col("code")))
 
 
-def start_audit(pages: DataFrame, target: str, checkpoint: str):
-    """Run the audit over everything that has landed, then stop; repeated runs take up only new files."""
-    return (
-        audit_stream(pages)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+class AuditSink:
+    """Findings and verdicts of pages, batch by batch: ``checks``, ``findings`` and ``verdicts`` under one folder.
+
+    Each batch writes folders of its own, named by its id, and replaces them when it runs again, so a batch that is repeated after a
+    failure changes nothing. The pages are scanned once; findings and verdicts come from the checks that were written.
+    """
+
+    def __init__(self, target: str, key: str = "page_id", html: str = "html"):
+        self.target, self.key, self.html = target.rstrip("/"), key, html
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        folder = f"{self.target}/checks/batch={batch_id}"
+        page_checks(batch, self.key, self.html).write.mode("overwrite").parquet(folder)
+        found = batch.sparkSession.read.parquet(folder)
+        findings_of(found, self.key).withColumn("severity", severity_of(F.col("code"))).write.mode("overwrite").parquet(f"{self.target}/findings/batch={batch_id}")
+        verdict_of(found, self.key).write.mode("overwrite").parquet(f"{self.target}/verdicts/batch={batch_id}")
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        """One of the tables, over all batches."""
+        return spark.read.parquet(f"{self.target}/{table}").drop("batch")
+
+
+def start_audit(pages: DataFrame, target: str, checkpoint: str, key: str = "page_id", html: str = "html"):
+    """Audit everything that has landed, then stop; repeated runs take up only new files. ``AuditSink(target)`` reads the tables."""
+    return pages.writeStream.foreachBatch(AuditSink(target, key, html).write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
