@@ -152,7 +152,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """What remains of every text without strings of 400 bytes that occur again."""
     out = remove_repeats(read(spark, sf, "documents"), kept=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest")
 
 
 MIXING_SQL = r"""

@@ -295,27 +295,28 @@ def _held(bits: Bits, spark: SparkSession, inside: bool = True):
 def _removed(length: int, kept: bool):
     def work(column):
         texts, spans = column.field("t"), column.field("s")
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for text, own in zip(texts, spans, strict=True):
             data = text.cast(pa.binary()).as_py() or b""
-            parts, at, n, removed = [], 0, 0, 0
-            end = -1
+            parts, at, n, removed, longest = [], 0, 0, 0, 0
+            begin = end = -1
             for lo, hi in sorted((x["lo"], x["hi"]) for x in own.as_py() or ()):
                 if lo > end:  # a new run
                     parts.append(data[max(at, 0) : lo])
                     n += 1
                     removed += hi + length - lo
-                    end = hi + length
+                    begin, end = lo, hi + length
                 elif hi + length > end:
                     removed += hi + length - end
                     end = hi + length
                 at = end
+                longest = max(longest, end - begin)
             parts.append(data[at:])
             rest = b"".join(parts)
-            for x, value in zip(out, (len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest if kept else None), strict=True):
+            for x, value in zip(out, (len(data), removed, n, longest, hashlib.sha256(rest).hexdigest(), rest if kept else None), strict=True):
                 x.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return [pa.array(x, t) for x, t in zip(out, kinds, strict=False)] + ([pa.array(out[4], pa.binary())] if kept else []), None
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        return [pa.array(x, t) for x, t in zip(out, kinds, strict=False)] + ([pa.array(out[5], pa.binary())] if kept else []), None
 
     return work
 
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, de
     """Cut every byte that lies in a string of ``length`` bytes which starts anywhere else too, in the same text or another.
 
     Texts are UTF-8 bytes; what is repeated is judged on the input. Adds ``n_bytes, n_removed, n_spans`` (maximal removed runs),
-    ``kept_sha256`` and, with ``kept``, the remaining bytes in ``kept`` (binary, as a cut may fall inside a character).
+    ``longest`` (the bytes of the longest of them), ``kept_sha256`` and, with ``kept``, the remaining bytes in ``kept`` (binary, as a cut may fall inside a character).
 
     1. Suffixes at the anchors are sorted to ``depth`` bytes: each task sorts its own into runs, front-codes them with equal ones
     joined, and sends each piece to the owner of its range; the owners merge with a loser tree. 2. Anchors whose suffix occurs
@@ -382,11 +383,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, de
     Null counts as empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each other and lose alike. Columns with
     the names of results are replaced. ``depth`` must lie between GRAM and ``length``.
     """
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["n_bytes", "n_removed", "n_spans", "longest", "kept_sha256", "kept"]
     base = without(docs, [*names, "_th", "_spans", "_both"])
     spans = written(repeated_spans(base, text=text, length=length, depth=depth), "spans")
     bits = Bits.of(spans, "th")
-    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")
+    added = "n_bytes long, n_removed long, n_spans long, longest long, kept_sha256 string" + (", kept binary" if kept else "")
 
     def cut(rows: DataFrame, found: Column) -> DataFrame:
         both = rows.withColumn("_both", F.struct(F.col(f"`{text}`").alias("t"), found.alias("s")))

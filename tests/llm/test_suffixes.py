@@ -6,21 +6,23 @@ from collections import Counter
 
 import pytest
 
+from folioscan.llm.queries import QUERIES
 from folioscan.llm.suffixes import core_hash, front_code, front_decode, merge, remove_repeats
 
 
 def brute(texts, length):
-    """(n_bytes, n_removed, n_spans, sha256) of each text, by counting all strings."""
+    """(n_bytes, n_removed, n_spans, longest, sha256) of each text, by counting all strings."""
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    seen = Counter(hash(b[i : i + length]) for b in raw for i in range(len(b) - length + 1))
     out = []
     for b in raw:
         gone = [False] * len(b)
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if seen[hash(b[i : i + length])] > 1:
                 gone[i : i + length] = [True] * length
         spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
-        out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+        longest = max((len(run) for run in "".join("x" if g else " " for g in gone).split()), default=0)
+        out.append((len(b), sum(gone), spans, longest, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
 
 
@@ -51,10 +53,20 @@ def test_matches_counting_all_strings(spark, length, depth, seed):
     want = brute(texts, length)
     assert len(got) == len(texts)
     for r in got:
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], texts[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.longest, r.kept_sha256) == want[r.doc_id], texts[r.doc_id]
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.lo == 1
 
 
+def test_query_equals_counting_all_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    want = brute([d.text for d in docs], 400)
+    got = {r.doc_id: r for r in QUERIES["op3_repeated_passages"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs) and any(w[1] for w in want)
+    for d, w in zip(docs, want, strict=True):
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.longest, r.kept_sha256) == w
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
