@@ -269,7 +269,7 @@ def audit_verdicts_stream(spark, sf):
     """Verdicts of pages as they land, with defects written into them."""
     folder = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
     pages = stream_table(spark, sf, "pages").select("page_id", "url", F.expr(SEED).alias("html"))
-    S.start_audit(pages, f"{folder}/out", f"{folder}/state").awaitTermination()
+    S.start_verdicts(pages, f"{folder}/out", f"{folder}/state").awaitTermination()
     return S.AuditSink(f"{folder}/out").read(spark, "verdicts")
 
 

@@ -208,6 +208,18 @@ class AuditSink:
         return spark.read.parquet(f"{self.target}/{table}").drop("batch")
 
 
-def start_audit(pages: DataFrame, target: str, checkpoint: str, key: str = "page_id", html: str = "html"):
-    """Audit everything that has landed, then stop; repeated runs take up only new files. ``AuditSink(target)`` reads the tables."""
+def start_audit(pages: DataFrame, target: str, checkpoint: str):
+    """Run the audit over everything that has landed, then stop; repeated runs take up only new files."""
+    return (
+        audit_stream(pages)
+        .writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def start_verdicts(pages: DataFrame, target: str, checkpoint: str, key: str = "page_id", html: str = "html"):
+    """The same with a verdict per page. ``AuditSink(target)`` reads the tables."""
     return pages.writeStream.foreachBatch(AuditSink(target, key, html).write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -121,10 +121,10 @@ def test_a_batch_may_be_written_again(spark):
 def test_only_new_pages_are_audited(spark):
     feed = Feed(spark, "page_id long, html string")
     feed.land([(1, "<p>{{x}}</p>")])
-    S.start_audit(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
+    S.start_verdicts(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
     feed.land([(2, "<p>fine</p>")])
-    S.start_audit(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
-    S.start_audit(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
+    S.start_verdicts(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
+    S.start_verdicts(feed.stream(), f"{feed.base}/audit", f"{feed.base}/mark").awaitTermination()
     assert sorted((r.page_id, r.ok) for r in S.AuditSink(f"{feed.base}/audit").read(spark, "verdicts").collect()) == [(1, False), (2, True)]
 
 
