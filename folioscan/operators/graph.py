@@ -7,9 +7,10 @@ improves. Only a yes-or-no answer per round comes to the driver.
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from folioscan.operators.ordered import numbered
 from folioscan.session import cut
 
 
-def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, doc: str = "doc_id") -> DataFrame:
+def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, doc: str = "doc_id", carry: str | None = None, start: str = "CAST(NULL AS STRING)") -> DataFrame:
     """Nodes reached from the roots in preorder: ``doc, node, path, trail, depth``.
 
     ``edges``: ``doc, src, dst, pos``; ``roots``: ``doc, node, pos``. Each node appears once, under the
@@ -27,22 +28,27 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None,
     expanded again when a smaller path to it turns up. ``trail`` holds the nodes on the path. Sorting by
     ``path`` gives the reading order. Edges to nodes that do not exist do no harm if they are left out of
     ``edges``. With ``max_depth`` deeper nodes are left out, and ``depth_capped`` marks the nodes whose children were.
+
+    ``carry`` folds a value along the least path and adds it as ``value``: a SQL expression of ``value``, that of the parent, and ``edge``,
+    a struct of the further columns of ``edges``. ``start`` gives the value of a root from the columns of ``roots``; both have one type.
     """
     links = edges.select(
-        F.col(doc).alias("__doc"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("pos").cast("int").alias("__pos")
+        F.col(doc).alias("__doc"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), F.col("pos").cast("int").alias("__pos"), further(edges, doc)
     )
-    first = F.min(F.struct(F.array(F.col("pos").cast("int")).alias("path"), F.array(F.col("node")).alias("trail")))
+    own = [] if carry is None else [F.expr(start).alias("value")]
+    first = F.min(F.struct(F.array(F.col("pos").cast("int")).alias("path"), F.array(F.col("node")).alias("trail"), *own))
     frontier = cut(roots.groupBy(doc, "node").agg(first.alias("b")))
     layers = frontier
     deep = count() if max_depth is None else range(max_depth)
     for _ in deep:
         on = (F.col(doc) == F.col("__doc")) & (F.col("node") == F.col("__src"))
+        folded = [] if carry is None else [F.expr(carry).alias("value")]
         step = F.struct(
-            F.array_append("b.path", F.col("__pos")).alias("path"), F.array_append("b.trail", F.col("__dst")).alias("trail")
+            F.array_append("b.path", F.col("__pos")).alias("path"), F.array_append("b.trail", F.col("__dst")).alias("trail"), *folded
         )
         # A path back to one of its own nodes is never the least one.
         reached = (
-            frontier.join(links, on)
+            (frontier if carry is None else frontier.withColumn("value", F.col("b.value"))).join(links, on)
             .filter(~F.array_contains("b.trail", F.col("__dst")))
             .select(doc, F.col("__dst").alias("node"), step.alias("c"))
             .groupBy(doc, "node")
@@ -55,7 +61,8 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None,
             break
         layers = layers.unionByName(frontier)
     best = layers.groupBy(doc, "node").agg(F.min("b").alias("b"))
-    out = best.select(doc, "node", "b.path", "b.trail", (F.size("b.path") - 1).alias("depth"))
+    carried = [] if carry is None else ["b.value"]
+    out = best.select(doc, "node", "b.path", "b.trail", (F.size("b.path") - 1).alias("depth"), *carried)
     if max_depth is None:
         return out
     parents = links.select(F.col("__doc").alias(doc), F.col("__src").alias("node"), F.lit(True).alias("__more")).distinct()
@@ -63,6 +70,41 @@ def graph_walk(edges: DataFrame, roots: DataFrame, max_depth: int | None = None,
     return out.join(parents, [doc, "node"], "left").select(*out.columns, capped.alias("depth_capped"))
 
 
+def further(edges: DataFrame, doc: str) -> Column:
+    """The columns of an edge beyond its ends and place, as one struct named ``edge``."""
+    more = [F.col(c) for c in edges.columns if c not in (doc, "src", "dst", "pos")]
+    return F.struct(*more or [F.lit(None).cast("string").alias("none")]).alias("edge")
+
+
+def tree_walk(edges: DataFrame, roots: DataFrame, doc: str = "doc_id", carry: str | None = None, start: str = "CAST(NULL AS STRING)") -> DataFrame:
+    """``graph_walk`` where each node has one parent: one recursive query in place of a loop of joins.
+
+    Each level of the tree is one step, and a node is expanded once; in a graph with several ways to a node each way would be a row. A way back to one of its own nodes
+    is not taken. ``carry`` and ``start`` as in ``graph_walk``; without them there is no ``value``. The result is written to the checkpoint folder, so later steps do not repeat the recursion.
+    """
+    spark = edges.sparkSession
+    name = f"w{uuid.uuid4().hex}"
+    edges.select(F.col(doc).alias("doc"), "src", "dst", F.col("pos").cast("int").alias("pos"), further(edges, doc)).createOrReplaceTempView(f"{name}_edges")
+    roots.withColumn("__doc", F.col(doc)).createOrReplaceTempView(f"{name}_roots")
+    query = f"""WITH RECURSIVE walk AS (
+        SELECT __doc AS doc, node, array(CAST(pos AS INT)) AS path, array(node) AS trail, {start} AS value FROM {name}_roots
+        UNION ALL
+        SELECT walk.doc, e.dst, array_append(path, e.pos), array_append(trail, e.dst), {carry or "value"}
+        FROM walk JOIN {name}_edges e ON walk.doc <=> e.doc AND walk.node = e.src WHERE NOT array_contains(trail, e.dst))
+      SELECT doc AS `{doc}`, node, path, trail, size(path) - 1 AS depth{", value" if carry else ""} FROM walk"""
+    limits = {f"spark.sql.cteRecursion{k}Limit": "-1" for k in ("Level", "Row")}  # the tree ends the recursion
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        return cut(spark.sql(query))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for part in ("edges", "roots"):
+            spark.catalog.dropTempView(f"{name}_{part}")
+
+
 def preorder(walk: DataFrame, doc: str = "doc_id", name: str = "rank") -> DataFrame:
     """Position of each node in reading order.
 
@@ -147,15 +189,19 @@ def subtree_flags(walk: DataFrame, nodes: DataFrame, flag: str, doc: str = "doc_
     )
 
 
-def inherit_context(walk: DataFrame, nodes: DataFrame, value: str, doc: str = "doc_id", node: str = "node") -> DataFrame:
-    """Each node's own value, else that of the nearest container that has one.
+def inherit_context(edges: DataFrame, roots: DataFrame, nodes: DataFrame, value: str, doc: str = "doc_id", node: str = "node", tree: bool = True) -> DataFrame:
+    """Each node's own value, else that of the nearest container that has one: ``doc, node, inherited``.
 
-    The containers of a node are on its trail, so one join finds the values; the deepest one wins.
+    The value goes down with the walk; ``tree`` says that each node has one parent.
     """
-    given = nodes.filter(F.col(value).isNotNull()).select(doc, F.col(node).alias("holder"), F.col(value).alias("given"))
-    on_trail = walk.select(doc, "node", F.posexplode("trail").alias("at", "holder"))
-    nearest = on_trail.join(given, [doc, "holder"]).groupBy(doc, "node").agg(F.max_by("given", "at").alias("inherited"))
-    return walk.select(doc, "node").join(nearest, [doc, "node"], "left")
+    own = nodes.select(F.col(doc).alias("__doc"), F.col(node).alias("__node"), F.col(value).alias("own"))
+
+    def given(table: DataFrame, at: str) -> DataFrame:
+        return table.join(own, F.col(doc).eqNullSafe(F.col("__doc")) & (F.col(at) == F.col("__node")), "left").drop("__doc", "__node")
+
+    links, tops = given(edges.select(doc, "src", "dst", "pos"), "dst"), given(roots.select(doc, "node", "pos"), "node")
+    walk = tree_walk if tree else graph_walk
+    return walk(links, tops, doc=doc, carry="coalesce(edge.own, value)", start="own").select(doc, "node", F.col("value").alias("inherited"))
 
 
 def asset_closure(refs: DataFrame, files: DataFrame, doc: str = "page_id", max_depth: int | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def tree(spark, sf):
 
 
 def walk(tree):
-    return G.graph_walk(*G.tree_edges(tree, "page_id"), doc="page_id")
+    return G.tree_walk(*G.tree_edges(tree, "page_id"), doc="page_id")
 
 
 def written(spark, sf):
@@ -48,10 +48,26 @@ def element_tree(spark, sf):
     f"WITH {TREE_SQL} SELECT page_id, idx AS node, depth, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS rank FROM tree",
 )
 def graph_walk(spark, sf):
-    r = G.preorder(walk(written(spark, sf)), "page_id")
+    """The loop of joins, which walks graphs of any shape; the other queries over page trees use the recursive query."""
+    r = G.preorder(G.graph_walk(*G.tree_edges(written(spark, sf), "page_id"), doc="page_id"), "page_id")
     return r.select("page_id", F.col("node").cast("bigint").alias("node"), F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "tree_walk",
+    f"WITH {TREE_SQL} SELECT t.page_id, idx AS node, depth, row_number() OVER (PARTITION BY t.page_id ORDER BY idx) AS rank, concat('', (SELECT string_agg(concat('/', atag), '' ORDER BY ancestor) FROM anc WHERE anc.page_id = t.page_id AND anc.descendant = t.idx), '/', tag) AS place FROM tree t",
+)
+def tree_walk(spark, sf):
+    """The same order from one recursive query, which carries the names on the way down."""
+    t = written(spark, sf)
+    names = t.select("page_id", F.col("idx").alias("dst"), "tag")
+    edges, roots = G.tree_edges(t, "page_id")
+    named = roots.join(names, (roots.page_id == names.page_id) & (F.col("node") == F.col("dst"))).select(roots.page_id, "node", "pos", "tag")
+    w = G.tree_walk(edges.join(names, ["page_id", "dst"]), named, doc="page_id", carry="concat(value, '/', edge.tag)", start="concat('/', tag)")
+    r = G.preorder(w, "page_id")
+    return r.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in ("node", "depth", "rank")], F.col("value").alias("place"))
+
+
 @query(
     "place_tree",
     """WITH x AS (SELECT r_regionkey AS doc_id, concat('r', r_regionkey) AS node, 0 AS depth, '' AS p FROM region
@@ -66,7 +82,7 @@ def place_tree(spark, sf):
         F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"), F.col("s_suppkey").cast("int").alias("pos")
     )
     roots = r.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(0).alias("pos"))
-    w = G.graph_walk(edges.unionByName(below), roots)
+    w = G.tree_walk(edges.unionByName(below), roots)
     return w.select("doc_id", "node", "depth", F.coalesce(F.try_element_at("trail", F.lit(-2)), F.lit("")).alias("parent"))
 
 
@@ -110,10 +126,12 @@ def subtree_flags(spark, sf):
     f"""WITH {TREE_SQL} SELECT page_id, idx AS node, tag FROM s WHERE idx % 3 <> 0 AND EXISTS (SELECT 1 FROM anc WHERE anc.page_id = s.page_id AND anc.ancestor = s.idx AND anc.descendant % 3 = 0)""",
 )
 def redundant_parents(spark, sf):
-    key = F.col("page_id") * 100000
+    def key(idx):  # an element is named by its page and its number
+        return F.struct(F.col("page_id").alias("page_id"), F.col(idx).cast("bigint").alias("idx"))
+
     t = written(spark, sf)
-    nodes = t.select("page_id", "tag", "idx", (key + F.col("idx")).alias("node"), (F.col("idx") % 3 == 0).alias("described"))
-    closure = G.ancestors(walk(t), "page_id").select((key + F.col("ancestor")).alias("ancestor"), (key + F.col("descendant")).alias("descendant"))
+    nodes = t.select("page_id", "tag", "idx", key("idx").alias("node"), (F.col("idx") % 3 == 0).alias("described"))
+    closure = G.ancestors(walk(t), "page_id").select(key("ancestor").alias("ancestor"), key("descendant").alias("descendant"))
     return J.redundant_parents(nodes, closure).select("page_id", F.col("idx").cast("bigint").alias("node"), "tag")
 
 
@@ -128,7 +146,7 @@ def inherit_context(spark, sf):
     nodes = t.select(
         "page_id", F.col("idx").alias("node"), F.when(F.col("tag").isin("nav", "article", "li"), F.concat("tag", (F.col("page_id") % 3).cast("string"))).alias("context")
     )
-    out = G.inherit_context(walk(t), nodes, "context", "page_id")
+    out = G.inherit_context(*G.tree_edges(t, "page_id"), nodes, "context", "page_id")
     return out.withColumn("node", F.col("node").cast("bigint"))
 
 
