@@ -70,6 +70,17 @@ def page_findings(spark, sf):
     return FD.page_findings(seeded(spark, sf)).select("page_id", "code", "n")
 
 
+ERRORS_TEXT = """SELECT c.page_id, f.code, f.n, count(*) OVER (PARTITION BY f.code) AS pages
+    FROM page_checks c, LATERAL page_findings(c.found) f WHERE f.severity = 'error' AND f.n > 0"""
+
+
+@query("findings_in_sql", f"{LONG_SQL}, m(code, severity) AS (VALUES {SEV_SQL}) SELECT page_id, code, n, count(*) OVER (PARTITION BY code) AS pages FROM f JOIN m USING (code) WHERE severity = 'error'")
+def findings_in_sql(spark, sf):
+    """The audit asked for in SQL text alone."""
+    FD.register_findings(seeded(spark, sf))
+    return spark.sql(ERRORS_TEXT)
+
+
 VERDICT_SQL = f""", m(code, severity) AS (VALUES {SEV_SQL}), j AS (SELECT * FROM f JOIN m USING (code)),
     v AS (SELECT page_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warns,
       count(*) FILTER (severity = 'info') AS infos, coalesce(string_agg(DISTINCT code, ',' ORDER BY code) FILTER (severity = 'error'), '') AS error_codes
