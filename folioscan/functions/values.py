@@ -96,15 +96,14 @@ def page_ranges_problem(c: Column) -> Column:
 def flag_bits(current: Column, symbolic: Column, italic: Column, fixed: Column) -> Column:
     """Set or clear bits 4, 32, 64 and 1 from attributes; a null attribute leaves its bit."""
 
-    def put(flags: Column, bit: int, on: Column) -> Column:
-        return (
-            F.when(on.isNull(), flags)
-            .when(on, flags.bitwiseOR(F.lit(bit)))
-            .otherwise(flags.bitwiseAND(F.lit(~bit)))
-        )
-
-    flags = F.coalesce(current.cast("int"), F.lit(0))
-    return put(put(put(put(flags, 4, symbolic), 32, ~symbolic), 64, italic), 1, fixed)
+    attributes = ((symbolic, 4, 32), (italic, 64, 0), (fixed, 1, 0))  # bits for true and for false
+    either = F.lit(0)
+    wanted = F.lit(0)
+    for given, yes, no in attributes:
+        either = either + F.when(given.isNotNull(), yes | no).otherwise(0)
+        wanted = wanted + F.when(given, yes).when(given.isNotNull(), no).otherwise(0)
+    kept = F.coalesce(current.cast("int"), F.lit(0)).bitwiseAND(F.bitwise_not(either))
+    return kept.bitwiseOR(wanted)
 
 
 def scaled_metric(source: Column, units: Column, target: Column) -> Column:
