@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.rows import without
+from folioscan.llm.rows import without, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 BUCKETS = 1 << 14
+# Ratios are counted in steps of this size where the threshold is set.
+STEP = 0.001
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -51,41 +54,86 @@ def base_counts(docs: DataFrame, text: str = "text", min_words: int = 50, repeat
     return out.withColumn("base_failed", failed).drop("_lines", "_windows", "_twice")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", smooth: float = 1.0) -> list[float]:
-    """The log-likelihood ratio of each bucket of hashed words and word pairs between the trusted and all rows.
+def fold_of(text: Column, folds: int) -> Column:
+    """The fold of a text; copies of a text share it."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(5)), F.lit(folds)).cast("int")
 
-    Counts cover all rows; what returns to the driver is one number per bucket. ``trusted`` holds the keys of the rows of the
-    target; keys it repeats, null keys and keys without a row count for nothing more.
+
+class Rules(NamedTuple):
+    """What ``fit`` learns: the ratios of the buckets for each fold, and the least ``llr`` of a text that is kept."""
+
+    ratios: list[list[float]]
+    threshold: float
+
+
+def fit(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", smooth: float = 1.0, folds: int = 4, keep: float = 0.98) -> Rules:
+    """The log-likelihood ratio of each bucket of hashed words and word pairs between the trusted and all rows, one list per fold.
+
+    Texts are dealt into folds by their hash, and the list of a fold is learned from the other folds only, so that no text raises its own ratio and a text
+    of the target is judged as one that the target has never seen. The threshold is the ``llr`` that ``keep`` of the texts of the target reach. Counts cover all rows; what returns to the driver is one number per fold and bucket.
+    ``trusted`` holds the keys of the rows of the target; keys it repeats, null keys and keys without a row count for nothing more. With one fold all
+    counts are used for all texts. With an empty target all ratios and the threshold are 0.
     """
     good = trusted.select(F.col(f"`{key}`").alias("k")).where("k is not null").distinct()
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    target = rows.join(good.hint("shuffle_hash"), "k", "left_semi").select("t")
+    # all texts are shuffled once for this join; those of the target are read twice below
+    target = written(rows.join(good.hint("shuffle_hash"), "k", "left_semi").select("t"), "target")
 
-    def counted(part: DataFrame, name: str) -> DataFrame:
-        w = part.select(_words(F.col("t")).alias("w"))
+    def counted(part: DataFrame) -> list[list[int]]:
+        w = part.select(_words(F.col("t")).alias("w"), fold_of(F.col("t"), folds).alias("f"))
         grams = F.flatten(F.transform("w", lambda x, i: F.when(F.get("w", i + 1).isNull(), F.array(_bucket(x))).otherwise(F.array(_bucket(x), _bucket(x, F.get("w", i + 1))))))
-        return w.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count("*").alias(name))
-
-    raw = {r.b: r.raw for r in counted(rows.select("t"), "raw").collect()}
-    own = {r.b: r.own for r in counted(target, "own").collect()}
-    n_raw, n_own = sum(raw.values()) + smooth * BUCKETS, sum(own.values()) + smooth * BUCKETS
-    if not own:
-        return [0.0] * BUCKETS
-    return [math.log((own.get(b, 0) + smooth) / n_own) - math.log((raw.get(b, 0) + smooth) / n_raw) for b in range(BUCKETS)]
+        out = [[0] * BUCKETS for _ in range(folds)]
+        for r in w.select("f", F.explode(grams).alias("b")).groupBy("f", "b").agg(F.count("*").alias("n")).collect():
+            out[r.f][r.b] = r.n
+        return out
+
+    raw, own = counted(rows.select("t")), counted(target)
+
+    def ratios(held: int) -> list[float]:
+        used = [f for f in range(folds) if f != held or folds == 1]
+        r, o = ([sum(part[f][b] for f in used) for b in range(BUCKETS)] for part in (raw, own))
+        if not any(o):
+            return [0.0] * BUCKETS
+        n_raw, n_own = sum(r) + smooth * BUCKETS, sum(o) + smooth * BUCKETS
+        return [math.log((y + smooth) / n_own) - math.log((x + smooth) / n_raw) for x, y in zip(r, o, strict=True)]
+
+    found = Rules([ratios(f) for f in range(folds)], 0.0)
+    steps = F.floor(F.col("llr") / STEP).cast("long").alias("step")
+    seen = sorted((r.step, r.n) for r in scored(target, found, "t").where("n_words > 0").select(steps).groupBy("step").agg(F.count("*").alias("n")).collect())
+    allowed, below = (1 - keep) * sum(n for _, n in seen), 0
+    for step, n in seen:
+        if below + n > allowed:
+            return found._replace(threshold=step * STEP)
+        below += n
+    return found
+
+
+def scored(docs: DataFrame, rules: Rules, text: str) -> DataFrame:
+    """Add ``n_words`` and ``llr``; the words stay in ``_w``."""
+    tables = [F.split(F.lit(",".join(f"{x:.9g}" for x in own)), ",").cast("array<double>") for own in rules.ratios]
+    base = docs if "_w" in docs.columns else docs.withColumn("_w", _words(F.col(f"`{text}`")))
+    base = base.withColumns({"n_words": F.size("_w").cast("long"), "_f": fold_of(F.col(f"`{text}`"), len(tables))})
+
+    def ratio(bucket: Column) -> Column:
+        out = F.get(tables[-1], bucket)
+        for f, table in enumerate(tables[:-1]):
+            out = F.when(F.col("_f") == f, F.get(table, bucket)).otherwise(out)
+        return out
+
+    each = F.transform("_w", lambda w, i: ratio(_bucket(w)) + F.when(F.get("_w", i + 1).isNull(), 0.0).otherwise(ratio(_bucket(w, F.get("_w", i + 1)))))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return base.withColumn("llr", F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(total / (2 * F.col("n_words") - 1))).drop("_f")
 
 
-def apply_rules(docs: DataFrame, ratios: list[float], *, text: str = "text", threshold: float = -0.05, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: Rules, *, text: str = "text", min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """Add the base counts, ``llr`` and ``kept`` to every row.
 
     ``llr`` is the sum of the ratios of the words and word pairs of the text over their number, so it does not grow with the
-    length; 0 where there is no word. A text is kept if it passes the base rules and ``llr >= threshold``: the same text always
-    gets the same verdict. With an empty target all ratios are 0 and the base rules decide.
-    Null and empty texts have no words and fail; repeated rows get the same verdict each; columns with these names are replaced.
+    length; 0 where there is no word. The ratios are those of the text's fold. A text is kept if it passes the base rules and its ``llr`` reaches the threshold: the same text always
+    gets the same verdict. With an empty target the base rules decide.
+    Null and empty texts have no words and fail; repeated rows get the same verdict each; columns with these names are replaced. A very long text
+    is worked on whole in its row, as arrays of some 50 bytes a word.
     """
-    table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
-    base = base_counts(without(docs, ["llr", "kept"]), text, min_words, repeat_percent)
-    pair = lambda w, i: F.when(F.get("_w", i + 1).isNull(), F.lit(0.0)).otherwise(F.get(table, _bucket(w, F.get("_w", i + 1))))
-    each = F.transform("_w", lambda w, i: F.get(table, _bucket(w)) + pair(w, i))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    out = base.withColumn("llr", F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(total / (2 * F.col("n_words") - 1)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_w")
+    base = base_counts(without(docs, ["llr", "kept", "_f"]), text, min_words, repeat_percent)
+    out = scored(base, rules, text)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= rules.threshold)).drop("_w")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from folioscan.llm.chat import format_chats
-from folioscan.llm.rules import apply_rules, fit
+from folioscan.llm.rules import BUCKETS, apply_rules, fit
 from folioscan.llm.surrogates import assign, replace_entities
 
 
@@ -130,13 +133,60 @@ def test_base_counts_and_verdict(spark):
     texts = [None, "", " \n ", "a a a a a", "x\ny\nx\n\n \nx"] + [" ".join(draw.choices(words, k=draw.randint(1, 300))) for _ in range(60)] + ["good words here " * 1] * 2
     docs = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)], "doc_id long, text string, kept string, _w int")
     trusted = spark.createDataFrame([(6,), (6,), (None,), (999,), (7,)], "doc_id long")
-    ratios = fit(docs, trusted)
-    got = apply_rules(docs, ratios).collect()
+    rules = fit(docs, trusted)
+    got = apply_rules(docs, rules).collect()
+    ratios, threshold = plain_rules(texts, {6, 7})
+    assert rules.threshold == pytest.approx(threshold)
     assert len(got) == len(texts)
     for r in got:
         want = plain_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want, texts[r.doc_id]
-        assert r.kept == (not r.base_failed and r.llr >= -0.05)
+        assert r.llr == pytest.approx(plain_llr(texts[r.doc_id], ratios), abs=1e-7)
+        assert r.kept == (not r.base_failed and r.llr >= rules.threshold)
     none = spark.createDataFrame([], "doc_id long")
-    assert set(fit(docs, none)) == {0.0}
-    assert apply_rules(docs.limit(0), ratios).collect() == []
+    nothing = fit(docs, none)
+    assert {x for own in nothing.ratios for x in own} == {0.0} and nothing.threshold == 0.0
+    assert all(r.kept != r.base_failed for r in apply_rules(docs, nothing).collect())
+    assert apply_rules(docs.limit(0), rules).collect() == [] and fit(docs.limit(0), trusted).threshold == 0.0
+    one = fit(docs, trusted, folds=1)
+    assert len(one.ratios) == 1 and len(apply_rules(docs, one).collect()) == len(texts)
+
+
+def signed_hash(*parts):
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else p.encode(), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def grams_of(text):
+    w = WORD.findall(text or "")
+    return [signed_hash(*g) % BUCKETS for g in [*zip(w), *zip(w, w[1:])]]
+
+
+def plain_fold(text):
+    return signed_hash(text or "", (5).to_bytes(4, "little")) % 4
+
+
+def plain_llr(text, ratios):
+    g = grams_of(text)
+    return sum(ratios[plain_fold(text)][b] for b in g) / len(g) if g else 0.0
+
+
+def plain_rules(texts, good, keep=0.98):
+    ratios = []
+    for fold in range(4):
+        raw = Counter(b for t in texts if plain_fold(t) != fold for b in grams_of(t))
+        own = Counter(b for i, t in enumerate(texts) if i in good and plain_fold(t) != fold for b in grams_of(t))
+        r, o = raw.total() + BUCKETS, own.total() + BUCKETS
+        ratios.append([math.log((own[b] + 1) / o) - math.log((raw[b] + 1) / r) if own else 0.0 for b in range(BUCKETS)])
+    scores = sorted(math.floor(plain_llr(texts[i], ratios) / 0.001) for i in good if grams_of(texts[i]))
+    return ratios, scores[int((1 - keep) * len(scores))] * 0.001
+
+
+def test_unseen_good_texts_are_kept_like_those_of_the_target(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    judged = apply_rules(docs, fit(docs, labels.where("quality = 1").where(seen))).join(labels, "doc_id").where("not base_failed")
+    rate = {(r.quality, r.seen): r.rate for r in judged.groupBy("quality", seen.alias("seen")).agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+    assert abs(rate[1, True] - rate[1, False]) <= 0.05 and rate[1, False] >= 0.9 and rate[0, False] <= 0.35
