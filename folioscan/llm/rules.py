@@ -110,15 +110,13 @@ def fit(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, rules: Rules, text: str) -> DataFrame:
     """Add ``n_words`` and ``llr``; the words stay in ``_w``."""
-    tables = [F.split(F.lit(",".join(f"{x:.9g}" for x in own)), ",").cast("array<double>") for own in rules.ratios]
+    # the lists of all folds one after another, so that a lookup is one place in one array
+    table = F.split(F.lit(",".join(f"{x:.9g}" for own in rules.ratios for x in own)), ",").cast("array<double>")
     base = docs if "_w" in docs.columns else docs.withColumn("_w", _words(F.col(f"`{text}`")))
-    base = base.withColumns({"n_words": F.size("_w").cast("long"), "_f": fold_of(F.col(f"`{text}`"), len(tables))})
+    base = base.withColumns({"n_words": F.size("_w").cast("long"), "_f": fold_of(F.col(f"`{text}`"), len(rules.ratios)) * BUCKETS})
 
     def ratio(bucket: Column) -> Column:
-        out = F.get(tables[-1], bucket)
-        for f, table in enumerate(tables[:-1]):
-            out = F.when(F.col("_f") == f, F.get(table, bucket)).otherwise(out)
-        return out
+        return F.get(table, F.col("_f") + bucket)
 
     each = F.transform("_w", lambda w, i: ratio(_bucket(w)) + F.when(F.get("_w", i + 1).isNull(), 0.0).otherwise(ratio(_bucket(w, F.get("_w", i + 1)))))
     total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
