@@ -385,8 +385,8 @@ def balance_check(spark, sf):
     m = F.col("m")
     return masked.select(
         "page_id",
-        FD.balance(m, "p").cast("bigint").alias("p_off"),
-        FD.balance(m, "b").cast("bigint").alias("b_off"),
+        H.balance(m, "p").cast("bigint").alias("p_off"),
+        H.balance(m, "b").cast("bigint").alias("b_off"),
         FD.balance_check(m)["sample"].alias("first"),
     )
 
