@@ -93,7 +93,7 @@ def debounce_events_stream(spark, sf):
     """The same from a stream, as far as the watermark has come: purchases act at once, all else after a quiet time."""
     e = events(spark, sf).select("event_id", "user_id", "ts", "event_type")
     out = ST.debounce_events(e, "user_id", "event_id", 6 * 3600 * 1000000, F.col("event_type") == "purchase")
-    return run_append(out.select("event_id", "user_id"), stateful=True)
+    return run_append(out.select("event_id", "user_id"))
 
 
 def answers(df):

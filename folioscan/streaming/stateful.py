@@ -1,6 +1,6 @@
 """Operators that keep state of their own per key: newest results, pending keystrokes, main answers of a page.
 
-Each is a processor for ``transformWithState``; the state store has to be one that supports it (``runner.with_state``).
+Keystrokes wait in session windows. Each of the others is a processor for ``transformWithState``; the state store has to be one that supports it (``runner.with_state``).
 Spark deals out the keys, keeps the state and fires the timers; the processors see one key at a time.
 """
 
@@ -51,68 +51,19 @@ def newest_results(df: DataFrame, key: str, seq: str, ttl_ms: int = 24 * 3600 *
     return df.groupBy(key).transformWithState(Newest(seq, df.schema[seq].dataType, df.columns, ttl_ms), df.schema, "Update", "processingTime")
 
 
-class Pending(StatefulProcessor):
-    """Events that wait for a pause behind them. Each has a timer; a later event within the pause takes its effect away."""
-
-    def __init__(self, ts: str, order: str, immediate: str, schema: T.StructType, gap_us: int):
-        self.ts, self.order, self.immediate, self.gap_us = ts, order, immediate, gap_us
-        self.names = [f.name for f in schema if f.name != immediate]
-        self.value = T.StructType([T.StructField("acts", T.BooleanType()), *[f for f in schema if f.name != immediate]])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waits = handle.getMapState("waits", "at long", self.value)
-
-    def expiry(self, at: int) -> int:
-        return -(-(at + self.gap_us) // 1000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = {k[0]: v for k, v in self.waits.iterator()}
-        changed: dict[int, tuple] = {}
-        for r in sorted(rows, key=lambda r: (_micros(r[self.ts]), r[self.order])):
-            now, at = bool(r[self.immediate]), _micros(r[self.ts])
-            row = tuple(r[n] for n in self.names)
-            if now:
-                yield Row(**dict(zip(self.names, row, strict=True)))
-            same = changed.get(at) or known.get(at)
-            # of events of one moment the last by order waits; those before it have a newer one behind them
-            if same is None or self.later(row, tuple(same)[1:]):
-                if at not in known and at not in changed:
-                    self.handle.registerTimer(self.expiry(at))
-                changed[at] = (not now, *row)
-        times = sorted(known.keys() | changed.keys())
-        for at, following in zip(times, times[1:]):
-            entry = changed.get(at) or tuple(known[at])
-            if entry[0] and following - at < self.gap_us:
-                changed[at] = (False, *tuple(entry)[1:])
-        for at, entry in changed.items():
-            self.waits.updateValue((at,), entry)
-
-    def later(self, a: tuple, b: tuple) -> bool:
-        k = self.names.index(self.order)
-        return a[k] >= b[k]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for at in sorted(k[0] for k in self.waits.keys()):
-            if self.expiry(at) == due:
-                entry = tuple(self.waits.getValue((at,)))
-                self.waits.removeKey((at,))
-                if entry[0]:
-                    yield Row(**dict(zip(self.names, entry[1:], strict=True)))
-
-    def close(self) -> None:
-        pass
-
-
 def debounce_events(df: DataFrame, key: str, order: str, gap_us: int, immediate: Column, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """The stream form of ``debounce_batch``: events with no other event of their key within the gap behind them, and immediate ones.
 
-    An immediate event is handed on as it comes. Any other waits for an event-time timer one gap after it; an event that comes in between, also one that
-    comes late or is immediate, takes its effect away. An event stays in the state until its own timer has fired, so the state holds what is younger than the gap and the watermark's delay.
+    An immediate event is handed on as it comes. Any other waits: events of a key without a gap between them are one session window, and its last event
+    is handed on once the watermark has passed it by the gap; an event that comes in between, also one that comes late or is immediate, takes its effect
+    away. The state holds one row per open session, its last event, not the events. Windows that touch are merged, so theirs are one microsecond shorter than the
+    gap; by that much an event may be handed on early.
     """
+    names = df.columns
     marked = df.withColumn("__now", F.coalesce(immediate, F.lit(False))).withWatermark(ts, delay)
-    return marked.groupBy(key).transformWithState(Pending(ts, order, "__now", marked.schema, gap_us), df.schema, "Append", "eventTime")
+    last = F.max_by(F.struct(*names, "__now"), F.struct(ts, order)).alias("last")
+    quiet = marked.groupBy(key, F.session_window(ts, f"{gap_us - 1} microseconds")).agg(last).select("last.*")
+    return marked.filter("__now").unionByName(quiet.filter("NOT __now")).drop("__now")
 
 
 class MainAnswer(StatefulProcessor):

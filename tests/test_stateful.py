@@ -138,3 +138,17 @@ def test_sketch_of_many_values_is_within_its_bound(spark):
     (row,) = feed.all(live).collect()
     rank = sum(v <= row.p50 for _, v in values[:-1]) / 20_000
     assert row.n == 20_000 and abs(rank - 0.5) <= 1.7 / 256 + 0.001
+
+
+def test_debounce_keeps_one_row_for_a_long_session(spark):
+    """20,000 keystrokes of one key: no timer and no state row for each."""
+    rows = [(1, START + timedelta(seconds=i), i, "enter" if i % 5000 == 0 else "key") for i in range(20_000)]
+    rows += [(2, START + timedelta(seconds=s), 30_000 + s, "key") for s in (0, 20, 39, 39)] + [(9, START + timedelta(days=9), 99_999, "key")]
+    feed = Feed(spark, EVENTS)
+    feed.land(rows)
+    acts = ST.debounce_events(feed.stream(), "k", "id", 20_000_000, F.col("kind") == "enter")
+    began = time.time()
+    feed.run(acts, ["k"], mode="append")
+    took = time.time() - began
+    want = S.debounce_batch(spark.createDataFrame(rows[:-1], EVENTS), ["k"], ["ts", "id"], 20_000_000, F.col("kind") == "enter")
+    assert sorted(r.id for r in feed.all(acts).collect()) == sorted(r.id for r in want.collect()) and took < 60
