@@ -240,7 +240,7 @@ def live_profile(spark, sf):
     max(value) AS hi, list_sort(list(value))[count(*) // 2 + 1] AS p50, true AS p50_holds, round(count(*) / 7200, 9) AS per_second FROM w GROUP BY window_start HAVING window_start + 7200000000 <= ({MARK} - 600000) * 1000""",
 )
 def live_profile_stream(spark, sf):
-    """The median of the stream comes from a sketch: exact for windows of up to 1,024 runs. ``p50_holds`` compares its rank with the exact one."""
+    """``p50_holds`` compares the rank of the stream's median with that of the runs."""
     live = run_append(profile(events(spark, sf), None))
     runs = batch_events(spark, sf).select(micros_of_window("2 hours").alias("window_start"), "value")
     held = live.select("window_start", "p50").join(runs, "window_start").groupBy("window_start").agg(

@@ -152,3 +152,14 @@ def test_debounce_keeps_one_row_for_a_long_session(spark):
     took = time.time() - began
     want = S.debounce_batch(spark.createDataFrame(rows[:-1], EVENTS), ["k"], ["ts", "id"], 20_000_000, F.col("kind") == "enter")
     assert sorted(r.id for r in feed.all(acts).collect()) == sorted(r.id for r in want.collect()) and took < 60
+
+
+def test_median_of_a_stream_is_exact(spark):
+    draw = random.Random(6)
+    values = {h: [draw.choice([draw.random(), 0.25]) for _ in range(n)] for h, n in ((0, 5001), (1, 5000), (2, 1), (3, 2))}
+    feed = Feed(spark, "ts timestamp, ms double")
+    feed.land([(START + timedelta(hours=h, seconds=i % 3600), v) for h, vs in values.items() for i, v in enumerate(vs)] + [(START + timedelta(hours=2), None), (START + timedelta(days=2), 0.5)])
+    live = S.live_profile(feed.stream(), "1 hour", None, "ms", F.col("ms") < 0.9, F.col("ms") >= 0.9)
+    feed.run(live, ["window_start"], mode="append")
+    got = [r.p50 for r in feed.all(live).orderBy("window_start").collect()]
+    assert got == [sorted(vs)[len(vs) // 2] for vs in values.values()]
