@@ -7,6 +7,7 @@ their counts and their only member, never pair by pair.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -217,27 +218,62 @@ def clean_ranges(ranges: DataFrame, lo: str = "lo", hi: str = "hi", max_span: in
     return out
 
 
+# Blocks of a level hold eight of the level below.
+STEP = 3
+
+
+def block_levels(clean: DataFrame) -> int:
+    """Levels of blocks that the longest range fills."""
+    span = clean.agg(F.max(F.col("hi").cast("double") - F.col("lo"))).first()[0]
+    return 1 if span is None else min(int(math.log2(span + 1) / STEP + 1e-9), 62 // STEP) + 1
+
+
+def range_blocks(clean: DataFrame, level: Column, lo: str = "lo") -> DataFrame:
+    """Ranges cut into aligned blocks of a level: adds ``block``. Over all levels the blocks of a range cover each of its codes once.
+
+    Block ``b`` of level ``n`` holds the codes from ``b * 8 ** n``. A level takes what the next one cannot, at most seven blocks at either end.
+    """
+    bits = level * STEP
+    size, rest = F.lit(1 << STEP).cast("bigint"), F.lit((1 << STEP) - 1).cast("bigint")
+
+    def ends(bits: Column) -> tuple[Column, Column]:
+        """First and last block that lie in the range whole."""
+        low, high = F.col(lo).cast("bigint"), F.col("hi").cast("bigint")
+        mask = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits))
+        first = F.call_function("shiftright", low, bits) + F.when(low.bitwiseAND(mask) == 0, 0).otherwise(1)
+        last = F.call_function("shiftright", high, bits) - F.when(high.bitwiseAND(mask) == mask, 0).otherwise(1)
+        return first, last
+
+    first, last = ends(bits)
+    first_up, last_up = ends(bits + STEP)
+    up, none = (bits + STEP < 63) & (first_up <= last_up), F.array().cast("array<bigint>")
+    whole = F.when(~up & (first <= last), F.sequence(first, last)).otherwise(none)
+    left = F.when(up & (first < first_up * size), F.sequence(first, first_up * size - 1)).otherwise(none)
+    right = F.when(up & (last_up * size + rest < last), F.sequence(last_up * size + rest + 1, last)).otherwise(none)
+    return clean.withColumn("block", F.explode(F.concat(whole, left, right)))
+
+
+def last_of_block(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """The last range of each block by ``ord``: ``keys, last`` with ``ord, lo, base``."""
+    return blocks.groupBy(*keys).agg(F.max_by(F.struct("ord", "lo", "base"), "ord").alias("last"))
+
+
 def range_lookup(codes: DataFrame, ranges: DataFrame, code: str, max_span: int | None = None, max_code: int | None = None) -> DataFrame:
     """Value of a code in ``ranges(lo, hi, base, ord)``: ``base + (code - lo)``, the last range wins.
 
-    A range lies in two blocks at most of the power of two that is not under its span, so distinct codes
-    meet the ranges by (power, block), an equi join, for each of the at most 63 powers that occur. The
-    answers go back to the rows by code. No code or span is too large; a caller may set bounds.
+    Ranges are cut into aligned blocks, of which each keeps its last range only. A distinct code meets the one block around it per
+    level, an equi join, so ranges that lie over each other are never paired with all codes in them. The answers go back to the rows
+    by code. No code or span is too large; a caller may set bounds.
     """
-    clean = clean_ranges(ranges, max_span=max_span, max_code=max_code)
-    power = F.length(F.bin(F.col("hi").cast("bigint") - F.col("lo")))
-    sized = clean.withColumn("power", power)
-    powers = sorted(r["power"] for r in sized.select("power").distinct().collect())
-    ends = F.array_distinct(F.array(F.expr("shiftright(cast(lo AS bigint), power)"), F.expr("shiftright(cast(hi AS bigint), power)")))
-    blocks = sized.select("lo", "hi", "base", "ord", "power", F.explode(ends).alias("block"))
+    clean = clean_ranges(ranges, max_span=max_span, max_code=max_code).select(F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "base", "ord")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(block_levels(clean) - 1)))
+    blocks = last_of_block(range_blocks(clean.withColumn("level", levels), F.col("level")), ["level", "block"])
     distinct = codes.select(F.col(code).cast("bigint").alias("code")).distinct()
-    levels = F.array(*map(F.lit, powers)).cast("array<int>")
-    distinct = distinct.withColumn("power", F.explode(levels)).withColumn("block", F.expr("shiftright(code, power)"))
+    around = distinct.withColumn("level", levels).withColumn("block", F.call_function("shiftright", F.col("code"), F.col("level") * STEP))
     found = (
-        distinct.join(blocks, ["power", "block"])
-        .filter(F.col("code").between(F.col("lo"), F.col("hi")))
+        around.join(blocks, ["level", "block"])
         .groupBy("code")
-        .agg(F.max_by(F.col("base") + F.col("code") - F.col("lo"), "ord").alias("value"))
+        .agg(F.max_by(F.col("last.base") + (F.col("code") - F.col("last.lo")), "last.ord").alias("value"))
     )
     return codes.join(found.withColumnRenamed("code", "__code"), F.col(code) == F.col("__code"), "left").drop("__code")
 

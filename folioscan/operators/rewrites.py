@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators.joins import clean_ranges
+from folioscan.operators.joins import STEP, block_levels, clean_ranges, last_of_block, range_blocks
 from folioscan.operators.ordered import ordered_scan
 
 Rewrite = Callable[[Column], Column]
@@ -192,9 +192,21 @@ def apply_by_index(df: DataFrame, changes: DataFrame, keys: list[str], value: st
 def expand_ranges(ranges: DataFrame, keys: list[str], max_span: int | None = None, max_code: int | None = None) -> DataFrame:
     """Ranges ``lo, hi, base, ord`` written out as ``keys, code, value``; the last entry for a code wins.
 
-    ``base`` is a number or the hexadecimal text of 16-bit units, every one of which grows with the code.
+    ``base`` is a number or the hexadecimal text of 16-bit units, every one of which grows with the code. Ranges are cut into aligned
+    blocks; from the largest blocks down, each hands its last range to its parts, so a code is written out once, not once per range over it.
     """
-    codes = clean_ranges(ranges, max_span=max_span, max_code=max_code).withColumn("code", F.explode(F.sequence(F.greatest(F.col("lo"), F.lit(0)), F.col("hi"))))
+    clean = clean_ranges(ranges, max_span=max_span, max_code=max_code).filter(F.col("hi") >= 0)
+    kind = clean.select(F.explode(F.sequence(F.greatest(F.col("lo"), F.lit(0)), F.col("hi"))).alias("code")).schema["code"].dataType
+    clean = clean.withColumn("__from", F.greatest(F.col("lo"), F.lit(0)))
+    last = None
+    for level in reversed(range(block_levels(clean))):
+        here = range_blocks(clean, F.lit(level), "__from").select(*keys, "block", "ord", "lo", "base")
+        if last is not None:
+            first = F.col("block") * (1 << STEP)
+            parts = last.withColumn("block", F.explode(F.sequence(first, first + (1 << STEP) - 1)))
+            here = here.unionByName(parts.select(*keys, "block", "last.ord", "last.lo", "last.base"))
+        last = last_of_block(here, [*keys, "block"])
+    codes = last.select(*keys, F.col("block").cast(kind).alias("code"), "last.lo", "last.base")
     step = F.col("code") - F.col("lo")
     if ranges.schema["base"].dataType.simpleString() == "string":
         units = F.regexp_extract_all(F.col("base"), F.lit("[0-9A-Fa-f]{4}"), F.lit(0))
@@ -207,7 +219,7 @@ def expand_ranges(ranges: DataFrame, keys: list[str], max_span: int | None = Non
         )
     else:
         value = F.col("base") + step
-    return codes.withColumn("value", value).groupBy(*keys, "code").agg(F.max_by("value", "ord").alias("value"))
+    return codes.select(*keys, "code", value.alias("value"))
 
 
 def xmp_packet(title: Column, subject: Column, author: Column, keywords: Column, created: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window as W
@@ -213,3 +214,38 @@ def test_upper_median_is_the_upper_one(spark):
 
     df = spark.createDataFrame([("a", float(v)) for v in (4, 1, 3, 2)] + [("b", 5.0), ("b", 5.0), ("b", 9.0)], "k string, v double")
     assert {r["k"]: r["p50"] for r in upper_median(df, ["k"], "v").collect()} == {"a": 3.0, "b": 5.0}
+
+
+RANGES = "lo long, hi long, base long, ord long"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranges_equal_the_plain_loop(spark, seed):
+    draw = random.Random(seed)
+    ranges = [(lo, lo + draw.choice([-1, 0, 1, 6, 7, 8, 63, 64, 700]), draw.randint(0, 99), i) for i, lo in enumerate(draw.choices(range(-80, 900), k=120))]
+    want = {}
+    for lo, hi, base, _ in ranges:
+        want.update({c: base + c - lo for c in range(lo, hi + 1)})
+    df = spark.createDataFrame(ranges, RANGES)
+    assert {r["code"]: r["value"] for r in R.expand_ranges(df, []).collect()} == {c: v for c, v in want.items() if c >= 0}
+    codes = spark.createDataFrame([(c,) for c in range(-100, 1700)], "code long")
+    assert {r["code"]: r["value"] for r in J.range_lookup(codes, df, "code").collect()} == {c: want.get(c) for c in range(-100, 1700)}
+
+
+def test_widest_ranges(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(-(2**63), top, 0, 1), (top - 2, top, 5, 2), (0, top, 7, 0)], RANGES)
+    codes = spark.createDataFrame([(top,), (-(2**63),)], "code long")
+    small = df.filter("ord <> 1")
+    assert {r["code"]: r["value"] for r in J.range_lookup(codes, df.withColumn("base", F.col("lo")), "code").collect()} == {top: top, -(2**63): -(2**63)}
+    assert {r["code"]: r["value"] for r in J.range_lookup(codes, small, "code").collect()} == {top: 7, -(2**63): None}
+
+
+def test_ranges_over_each_other_are_not_paired(spark):
+    """40,000 ranges of 40,000 codes each are 1.6 billion pairs."""
+    df = spark.range(40_000).selectExpr("id AS lo", "id + 39999 AS hi", "id * 3 AS base", "id AS ord")
+    began = time.time()
+    got = R.expand_ranges(df, []).agg(F.count("*"), F.sum("value")).first()
+    found = J.range_lookup(spark.range(80_000).withColumnRenamed("id", "code"), df, "code").agg(F.count("value"), F.sum("value")).first()
+    assert tuple(got) == tuple(found) == (79_999, sum(3 * min(c, 39_999) + c - min(c, 39_999) for c in range(79_999)))
+    assert time.time() - began < 60
