@@ -207,25 +207,27 @@ def inherit_context(edges: DataFrame, roots: DataFrame, nodes: DataFrame, value:
 def asset_closure(refs: DataFrame, files: DataFrame, doc: str = "page_id", max_depth: int | None = None) -> DataFrame:
     """Files reached from the references of a document through style sheets and scripts: ``doc, path, depth``.
 
-    The walk ends when a round finds no new file; ``max_depth`` ends it earlier.
+    The walk ends when a round finds no new file; ``max_depth`` ends it earlier. A round parses only the files that the last one reached.
 
     ``refs``: ``doc, path`` (absolute); ``files``: ``path, content``. Each path is listed once, files that do not exist
     only as the last step.
     """
     code = files.filter(F.col("path").rlike(r"(?i)\.(?:css|m?js)$"))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    found = code.select("path", F.posexplode(F.transform(H.asset_refs(F.col("content")), H.local_ref)).alias("pos", "ref"))
-    target = F.when(F.col("ref").startswith("/"), F.col("ref")).otherwise(F.concat(folder, F.lit("/"), F.col("ref")))
-    links = found.filter(F.col("ref").isNotNull()).select(
-        F.col("path").alias("src"), F.concat(F.lit("/"), clamped_path(target)).alias("dst"), "pos"
-    )
+
+    def links(reached: DataFrame) -> DataFrame:
+        there = code.join(reached.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
+        found = there.select("path", F.explode(F.transform(H.asset_refs(F.col("content")), H.local_ref)).alias("ref"))
+        target = F.when(F.col("ref").startswith("/"), F.col("ref")).otherwise(F.concat(folder, F.lit("/"), F.col("ref")))
+        return found.filter(F.col("ref").isNotNull()).select(F.col("path").alias("node"), F.concat(F.lit("/"), clamped_path(target)).alias("dst"))
+
     # The same file graph serves every document: the walk runs once, over one row per starting path.
     starts = refs.select("path").distinct().select(F.col("path").alias("doc_id"), F.col("path").alias("node"), F.lit(0).alias("pos"))
     reach = cut(starts.select("doc_id", "node", F.lit(0).alias("depth")))
     frontier = reach
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = (
-            frontier.join(links.select(F.col("src").alias("node"), "dst"), "node")
+            frontier.join(links(frontier), "node")
             .select("doc_id", F.col("dst").alias("node"))
             .distinct()
             .join(reach, ["doc_id", "node"], "left_anti")
