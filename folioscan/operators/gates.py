@@ -26,21 +26,18 @@ def ratchet(current: DataFrame, baseline: DataFrame, key: str, n: str = "n") ->
 
 def manifest_diff(found: DataFrame, listed: DataFrame) -> DataFrame:
     """Disagreements of emitted codes with a manifest, both ``code, severity``: ``code, problem``."""
-    emitted = found.select("code", "severity").distinct()
-    known = listed.select("code", F.col("severity").alias("listed_severity")).distinct()
-    not_listed = emitted.select("code").distinct().join(known, "code", "left_anti").withColumn("problem", F.lit("not-listed"))
-    not_emitted = known.select("code").distinct().join(emitted, "code", "left_anti").withColumn("problem", F.lit("not-emitted"))
-    wrong = (
-        emitted.join(known, "code")
-        .filter(F.col("severity") != F.col("listed_severity"))
-        .select("code")
-        .distinct()
-        .withColumn("problem", F.lit("wrong-severity"))
+    emitted = found.select("code", "severity").distinct().groupBy("code").agg(F.lit(True).alias("emitted"), F.count("*").alias("n"), F.collect_set("severity").alias("found"))
+    known = listed.select("code", "severity").groupBy("code").agg(F.lit(True).alias("known"), F.collect_set("severity").alias("listed"))
+    # One full join: the findings, which may be costly to make, are read once.
+    both = emitted.join(known, "code", "full_outer")
+    differs = F.exists("found", lambda f: F.exists("listed", lambda k: f != k))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("known").isNull(), "not-listed"), F.when(F.col("emitted").isNull(), "not-emitted"),
+            F.when(differs, "wrong-severity"), F.when(F.col("n") > 1, "two-severities"),
+        )
     )
-    twice = (
-        emitted.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("code", F.lit("two-severities").alias("problem"))
-    )
-    return not_listed.unionByName(not_emitted).unionByName(wrong).unionByName(twice)
+    return both.select("code", F.explode(problems).alias("problem"))
 
 
 def distinct_set(df: DataFrame, columns: list[str]) -> DataFrame:
