@@ -302,13 +302,17 @@ def paired_sequences(a: DataFrame, b: DataFrame, key: str, order: list[str]) ->
 
 def same_sequence(a: DataFrame, b: DataFrame, key: str, order: list[str], codes: list[str], numbers: list[str], eps: float = 1e-4) -> DataFrame:
     """Per key: do both sequences have the same length, codes and, within ``eps``, numbers?"""
-    both = paired_sequences(a, b, key, order)
-    same = F.lit(True)
+    names = list(dict.fromkeys([*order, *codes, *numbers]))
+    sides = a.select(key, *names, F.lit(False).alias("__b")).unionByName(b.select(key, *names, F.lit(True).alias("__b")))
+    # Both sides are numbered by one scan and meet by grouping; a position holds one row of a side at most.
+    left, right = ({c: F.max(F.when(F.col("__b") == side, F.col(c))) for c in names} for side in (False, True))
+    same = F.count("*") == 2
     for c in codes:
-        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+        same = same & left[c].eqNullSafe(right[c])
     for c in numbers:
-        same = same & F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= eps, F.lit(False))
-    return both.groupBy(key).agg(F.bool_and(same).alias("same"), F.count("*").alias("n"))
+        same = same & F.coalesce(F.abs(left[c] - right[c]) <= eps, F.lit(False))
+    pairs = numbered(sides, [key, "__b"], order).groupBy(key, "rn").agg(same.alias("same"))
+    return pairs.groupBy(key).agg(F.bool_and("same").alias("same"), F.count("*").alias("n"))
 
 
 def preserved(before: DataFrame, after: DataFrame, keys: list[str], payload: str) -> DataFrame:
