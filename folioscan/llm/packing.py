@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.llm.alignment import byte_letters
 from folioscan.llm.kernel import chunks, word_hashes
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
@@ -25,7 +26,9 @@ KINDS[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
 KINDS[ord("0") : ord("9") + 1] = DIGIT
 KINDS[ord("a") : ord("z") + 1] = LETTER
 KINDS[0x80:] = LETTER
-FORGET = 250_000
+FORGET = 500_000
+# The letter by which the vocabulary file writes each byte.
+BYTE_LEVEL = {b: letter for letter, b in byte_letters().items()}
 
 
 def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +59,20 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Encoder:
     """Ids of texts by the vocabulary file. The ids of a piece do not depend on its neighbours, so the library encodes
-    each piece once; texts that are not plain go to it whole."""
+    each piece once; texts that are not plain go to it whole. Which pieces are known is kept in arrays, not piece by piece."""
 
     def __init__(self, path: str, end: int | None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.known: dict[int, bytes] = {}
         self.end = b"" if end is None else np.array([end], np.uint32).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No pieces known: their hashes in order, and where the ids of each begin and end in ``ids``."""
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids and the end id, as unsigned little-endian 32-bit numbers."""
@@ -79,28 +87,39 @@ class Encoder:
         starts, ends = split(data, at)
         if not len(starts):
             return [b""] * (len(at) - 1)
-        hashes, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        names, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > FORGET:
-            self.known.clear()
-        names, known, text = hashes.tolist(), self.known, data.tobytes()
-        hard = []
-        for name, i in zip(names, first.tolist(), strict=True):
-            if name not in known:
-                piece = text[starts[i] : ends[i]]
-                if piece.isascii():
-                    known[name] = np.array([t.id for t in self.model.tokenize(piece.decode())], np.uint32).tobytes()
-                else:
-                    hard.append((name, piece.decode()))
-        for (name, _), got in zip(hard, self.whole.encode_batch_fast([x for _, x in hard], add_special_tokens=False), strict=True):
-            known[name] = np.array(got.ids, np.uint32).tobytes()
-        coded = [known[name] for name in names]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat, begin = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(sizes) - sizes
-        each = sizes[back]
+            self._forget()
+        new = self._place(names)[1]
+        if new.any():
+            self._learn(names[new], data, starts[first[new]], ends[first[new]])
+        place = self._place(names)[0][back]
+        each, begin = self.size[place], self.begin[place]
         upto = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(begin[back] - upto[:-1], each) + np.arange(upto[-1])]
-        cut = upto[np.searchsorted(starts, at)]
-        return [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        ids = self.ids[np.repeat(begin - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        cut = 4 * upto[np.searchsorted(starts, at)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _place(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand among the known ones, and which are new."""
+        place = np.searchsorted(self.known, names)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != names[~new]
+        return place, new
+
+    def _learn(self, names: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode the pieces and keep their ids."""
+        text, tokenize = data.tobytes(), self.model.tokenize
+        coded = [tokenize(text[a:b].decode("latin-1").translate(BYTE_LEVEL)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter([t.id for own in coded for t in own], np.uint32, size.sum())
+        begin = self.used + np.cumsum(size) - size
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        place = np.searchsorted(self.known, names)
+        self.known, self.begin, self.size = (np.insert(x, place, y) for x, y in ((self.known, names), (self.begin, begin), (self.size, size)))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

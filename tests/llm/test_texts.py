@@ -16,7 +16,7 @@ from folioscan.llm import quality
 from folioscan.llm.decontamination import decontaminate
 from folioscan.llm.jaccard import bands_for, intersections, one_of_each, similar
 from folioscan.llm.language import identify, suffix_automaton, train
-from folioscan.llm.packing import pack, pack_documents
+from folioscan.llm.packing import Encoder, pack, pack_documents
 from folioscan.llm.queries import QUERIES, vocabulary
 from folioscan.llm.rows import DOCUMENTS
 from folioscan.session import cut
@@ -220,6 +220,25 @@ def test_packing_round_trip(spark):
     assert pack_documents(docs.limit(0), vocabulary()).collect() == []
 
 
+def test_pieces_are_encoded_once():
+    encoder, asked = Encoder(vocabulary(), 1), []
+
+    class Model:
+        def tokenize(self, piece, own=encoder.model):
+            asked.append(piece)
+            return own.tokenize(piece)
+
+    encoder.model = Model()
+    letters = [a + b for a in "abcdefghijklmnopqrstuvwxyzàéñöü" for b in "abcdefghijklmnopqrstuvwx"]
+    rows = ["it's l'été: " + " ".join(a + b + c for b in letters[::2] for c in letters[k::97]) for k, a in enumerate(letters[:90])] + [None, "", "''s a.'re !!x9 9"]
+    got = list(encoder.encode(rows))
+    n = len(asked)
+    assert n == len(set(asked)) > 250_000
+    assert list(encoder.encode(rows)) == got and len(asked) == n
+    for text, ids in [*zip(rows, got)][::30] + [*zip(rows, got)][-3:]:
+        assert np.frombuffer(ids, np.uint32).tolist() == [*encoder.whole.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_every_row(spark, name):
     out = QUERIES[name](spark, SF)
