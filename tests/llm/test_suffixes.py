@@ -67,6 +67,14 @@ def test_query_equals_counting_all_strings(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.longest, r.kept_sha256) == w
 
 
+def test_texts_without_repeats_pass_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "x" * 100), (2, "é" * 300), (3, None)], "doc_id long, text string").coalesce(1)
+    out = remove_repeats(docs, length=60, depth=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # two filters, and the cut of the texts that the bitmap doesn't rule out
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in out.collect()) == [(1, 100, 100), (2, 600, 600), (3, 0, 0)]
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
