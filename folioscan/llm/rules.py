@@ -21,7 +21,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def _words(text: Column) -> Column:
     """The words of a text, none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
+
+
+def _after(array: str, n: int = 1) -> Column:
+    """An array without its first values."""
+    return F.slice(array, F.lit(n + 1), F.greatest(F.lit(0), F.size(array) - n))
+
+
+def _distinct(array: Column) -> Column:
+    return F.size(F.array_distinct(array)) == F.size(array)
 
 
 def _bucket(*words: Column) -> Column:
@@ -35,23 +44,28 @@ def base_counts(docs: DataFrame, text: str = "text", min_words: int = 50, repeat
     within the row, so a long text costs n log n.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    has_word = F.filter(F.split(t, "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
-    base = without(docs, [*COUNTS, "_w", "_lines", "_windows", "_twice"])
-    one = base.withColumns({"_w": _words(F.col(f"`{text}`")), "_lines": has_word})
-    windows = F.transform("_w", lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
-    two = one.withColumn("_windows", F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.lit(0), F.size("_w") - 2))))
+    base = without(docs, [*COUNTS, "_w", "_lines", "_hashes", "_windows", "_twice"])
+    one = base.withColumns({"_w": _words(F.col(f"`{text}`")), "_lines": F.array_remove(F.split(t, "\n", -1), "")})
+    # hashes of three words in a row; what most texts lack, repeats, is looked for closely only where there are some
+    pairs = F.zip_with("_w", _after("_w"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    triples = F.zip_with(F.slice(pairs, F.lit(1), F.greatest(F.lit(0), F.size("_w") - 2)), _after("_w", 2), lambda p, z: F.xxhash64(p["x"], p["y"], z))
+    two = one.withColumn("_hashes", triples)
+    placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    two = two.withColumn("_windows", F.when(~_distinct(F.col("_hashes")), placed))
     twice = F.filter("_windows", lambda x, j: (F.get("_windows", j + 1)["h"] == x["h"]) | ((j > 0) & (F.get("_windows", j - 1)["h"] == x["h"])))
-    three = two.withColumn("_twice", F.sort_array(F.transform(F.filter(twice, lambda x: x.isNotNull()), lambda x: x["i"])))
+    three = two.withColumn("_twice", F.coalesce(F.sort_array(F.transform(F.filter(twice, lambda x: x.isNotNull()), lambda x: x["i"])), F.array().cast("array<int>")))
+    filled = F.filter("_lines", lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    again = F.when(_distinct(F.col("_lines")), 0).otherwise(F.size(filled) - F.size(F.array_distinct(filled)))
     covered = F.aggregate("_twice", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")))["n"]
     out = three.withColumns({
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": again.cast("long"),
         "n_repeat_words": covered.cast("long"),
     })
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_windows", "_twice")
+    return out.withColumn("base_failed", failed).drop("_lines", "_hashes", "_windows", "_twice")
 
 
 def fold_of(text: Column, folds: int) -> Column:
@@ -59,6 +73,15 @@ def fold_of(text: Column, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(5)), F.lit(folds)).cast("int")
 
 
+def bucket_counts(docs: DataFrame, text: str, folds: int) -> DataFrame:
+    """(f, b, n): how many words and word pairs of the texts of each fold fall into each bucket. Words are rows here, so all of it runs in generated code."""
+    words = docs.select(_words(F.col(f"`{text}`")).alias("w"), fold_of(F.col(f"`{text}`"), folds).alias("f"))
+    each = words.select("f", "w", F.posexplode("w").alias("i", "x"))
+    after = F.get("w", F.col("i") + 1)
+    buckets = F.array(_bucket(F.col("x")), F.when(after.isNotNull(), _bucket(F.col("x"), after)))
+    return each.select("f", F.explode(buckets).alias("b")).where("b is not null").groupBy("f", "b").agg(F.count("*").alias("n"))
+
+
 class Rules(NamedTuple):
     """What ``fit`` learns: the ratios of the buckets for each fold, and the least ``llr`` of a text that is kept."""
 
@@ -80,10 +103,8 @@ def fit(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str =
     target = written(rows.join(good.hint("shuffle_hash"), "k", "left_semi").select("t"), "target")
 
     def counted(part: DataFrame) -> list[list[int]]:
-        w = part.select(_words(F.col("t")).alias("w"), fold_of(F.col("t"), folds).alias("f"))
-        grams = F.flatten(F.transform("w", lambda x, i: F.when(F.get("w", i + 1).isNull(), F.array(_bucket(x))).otherwise(F.array(_bucket(x), _bucket(x, F.get("w", i + 1))))))
         out = [[0] * BUCKETS for _ in range(folds)]
-        for r in w.select("f", F.explode(grams).alias("b")).groupBy("f", "b").agg(F.count("*").alias("n")).collect():
+        for r in bucket_counts(part, "t", folds).collect():
             out[r.f][r.b] = r.n
         return out
 
@@ -118,7 +139,7 @@ def scored(docs: DataFrame, rules: Rules, text: str) -> DataFrame:
     def ratio(bucket: Column) -> Column:
         return F.get(table, F.col("_f") + bucket)
 
-    each = F.transform("_w", lambda w, i: ratio(_bucket(w)) + F.when(F.get("_w", i + 1).isNull(), 0.0).otherwise(ratio(_bucket(w, F.get("_w", i + 1)))))
+    each = F.zip_with("_w", _after("_w"), lambda x, y: ratio(_bucket(x)) + F.when(y.isNull(), 0.0).otherwise(ratio(_bucket(x, y))))
     total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
     return base.withColumn("llr", F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(total / (2 * F.col("n_words") - 1))).drop("_f")
 

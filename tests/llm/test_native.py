@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioscan.llm.chat import format_chats
-from folioscan.llm.rules import BUCKETS, apply_rules, fit
+from folioscan.llm.rules import BUCKETS, apply_rules, bucket_counts, fit
 from folioscan.llm.surrogates import assign, replace_entities
 
 
@@ -182,3 +182,11 @@ def plain_rules(texts, good, keep=0.98):
         ratios.append([math.log((own[b] + 1) / o) - math.log((raw[b] + 1) / r) if own else 0.0 for b in range(BUCKETS)])
     scores = sorted(math.floor(plain_llr(texts[i], ratios) / 0.001) for i in good if grams_of(texts[i]))
     return ratios, scores[int((1 - keep) * len(scores))] * 0.001
+
+
+def test_buckets_are_counted_in_generated_code(spark):
+    texts = ["a b a", "", None, " a b\n\x0bc  ", "É"]
+    out = bucket_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 1)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = Counter(b for w in map(WORD.findall, ["a b a", "a b c", "É"]) for b in (signed_hash(*g) % BUCKETS for g in [*zip(w), *zip(w, w[1:])]))
+    assert {r.b: r.n for r in out.collect()} == want
