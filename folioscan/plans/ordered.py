@@ -37,9 +37,23 @@ WALK_SQL = f"""WITH RECURSIVE {GLYPH_SQL},
         FROM k JOIN v ON v.doc_id = k.doc_id AND v.stream_id = k.stream_id AND v.rn = k.rn + 1) z)"""
 
 
+# Bytes of text in a part of the documents; each becomes some 20 times as many bytes of rows.
+PART_BYTES = 8 << 20
+
+
+def dealt(spark, sf):
+    """The documents dealt out by key before their words become rows: windows and groups of a document then find their rows in place.
+
+    The number of parts follows the bytes, so what a task sorts does not grow with the table.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1), "doc_id")
+
+
 def glyphs(spark, sf):
     """Words as glyphs. A stream is one line of one document, so a stream's rows come from one row."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("stream_id", "line"))
+    lines = dealt(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("stream_id", "line"))
     words = lines.select("doc_id", (F.col("stream_id") + 1).alias("stream_id"), F.posexplode(F.split("line", " ")).alias("pos", "word"))
     n, pos = F.length("word"), F.col("pos") + 1
     return words.select(
@@ -142,7 +156,7 @@ def wide_gaps(spark, sf):
 
 
 def text_runs(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    lines = dealt(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     words = lines.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("p", "word")).selectExpr(
         "doc_id", "ln + 1 AS ln", "p + 1 AS pos", "word", "length(word) AS n"
     )

@@ -44,3 +44,13 @@ def test_references_of_parts_are_counted_where_the_parts_were_dealt(spark):
 
     plan = asset_refs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(p_partkey") == 1 and plan.index("HashAggregate") < plan.index("Exchange hashpartitioning(p_partkey")
+
+
+def test_documents_are_dealt_out_before_their_words_become_rows(spark, monkeypatch):
+    from folioscan.plans import ordered
+
+    monkeypatch.setattr(ordered, "PART_BYTES", 1 << 14)
+    for name in ("text_flow", "wide_gaps", "gaps_probe"):
+        plan = getattr(ordered, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") > plan.rindex("Generate"), name
+    assert ordered.dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 8
