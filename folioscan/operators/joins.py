@@ -38,14 +38,19 @@ def untagged(documents: DataFrame, named: DataFrame, key: str) -> DataFrame:
     return documents.select(key).distinct().join(named.select(key).distinct(), key, "left_anti")
 
 
-def dangling_refs(edges: DataFrame, nodes: DataFrame, ref: str, node: str, doc: str | None = None, skip: DataFrame | None = None) -> DataFrame:
+def dangling_refs(
+    edges: DataFrame, nodes: DataFrame, ref: str, node: str, doc: str | None = None, skip: DataFrame | None = None, holds: Column | None = None
+) -> DataFrame:
     """Referenced ids that no node defines, with the number of references.
 
-    The references are counted per id before the join. Documents in ``skip`` are left out.
+    The references are counted per id before the join. Documents in ``skip`` are left out. With ``holds``, a condition on
+    columns of the node and of the reference, ``nodes`` is one catalogue for all documents, and a node defines its id only where it holds.
     """
     keys = [ref] if doc is None else [doc, ref]
     work = edges if skip is None or doc is None else edges.join(skip.select(doc).distinct(), doc, "left_anti")
     counted = work.groupBy(*keys).agg(F.count("*").alias("refs"))
+    if holds is not None:
+        return counted.join(nodes, (F.col(ref) == F.col(node)) & holds, "left_anti")
     ids = nodes.select(*([] if doc is None else [doc]), F.col(node).alias(ref)).distinct()
     return counted.join(ids, keys, "left_anti")
 

@@ -54,3 +54,20 @@ def test_documents_are_dealt_out_before_their_words_become_rows(spark, monkeypat
         plan = getattr(ordered, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") > plan.rindex("Generate"), name
     assert ordered.dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 8
+
+
+def test_lines_are_dealt_out_by_their_number_before_references_are_counted(spark, monkeypatch):
+    from folioscan.plans import joins
+
+    monkeypatch.setattr(joins, "PART_ROWS", 100)
+    out = joins.dangling_refs(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().executedPlan().toString().count("lineitem") == 1
+    assert out.rdd.getNumPartitions() > 50
+
+
+def test_a_catalogue_holds_by_a_condition(spark):
+    edges = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (2, None), (None, 7), (3, 9)], "doc long, ref long")
+    nodes = spark.createDataFrame([(7, 1), (7, 0), (8, None), (9, 0)], "node long, least long")
+    skip = spark.createDataFrame([(3,)], "doc long")
+    out = J.dangling_refs(edges, nodes, "ref", "node", "doc", skip, F.col("doc") <= F.col("least"))
+    assert {(r.doc, r.ref): r.refs for r in out.collect()} == {(2, 7): 1, (2, 8): 1, (2, None): 1, (None, 7): 1}
