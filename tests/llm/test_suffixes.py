@@ -4,9 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from folioscan.llm import suffixes
 from folioscan.llm.queries import QUERIES
+from folioscan.llm.rows import Bits
 from folioscan.llm.suffixes import core_hash, front_code, front_decode, merge, remove_repeats
 
 
@@ -96,3 +99,25 @@ def test_merge_of_front_coded_runs():
             assert same == next((k for k in range(depth) if s[k] != last[k]), depth)
         last = s
     assert len(set(core_hash([s for _, s, _ in out]).tolist())) == len({s for r in runs for s in r})
+
+
+def test_groups_are_hashed_not_sorted(spark, monkeypatch):
+    plans, write = {}, suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    docs = spark.createDataFrame([(i, f"{i} " + "abcdefghij" * 30 + f" {i}") for i in range(6)], "doc_id long, text string")
+    assert {r.n_removed for r in remove_repeats(docs, length=60, depth=20).collect()} == {302}
+    assert all("HashAggregate" in plans[x] and "SortAggregate" not in plans[x] for x in ("groups", "classes"))
+
+
+def test_anchors_that_the_bitmap_rules_out_are_not_shuffled(spark):
+    import numpy as np
+
+    text = "".join(random.Random(7).choices("abcdefgh", k=5000))
+    (found,) = [x[2] for x in suffixes.anchored(pa.array([text, None, "short"]), 60, 20)]
+    assert [s for lo, hi in zip(found.lo, found.hi, strict=True) for s in range(lo, hi + 1)] == list(range(5000 - 60 + 1))
+    assert all(lo <= p and hi <= p and p + 20 <= lo + 60 for lo, hi, p in zip(found.hi, found.lo, found.place, strict=True))
+    words = np.zeros(Bits.WORDS, np.int64)
+    for h in found.core_hashes().view(np.int64)[:3].tolist():
+        words[h & (Bits.WORDS - 1)] |= np.int64(np.uint64(1) << np.uint64((h >> 20) & 63))
+    rows = spark.createDataFrame([(1, text)], "th long, t string").mapInArrow(suffixes._anchor_rows(60, 20, Bits(words), spark), "th long, lo long, hi long, place long, core long, u long, v long")
+    assert rows.count() == 3 < len(found.lo)
