@@ -70,6 +70,20 @@ def test_query_equals_counting_all_strings(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.longest, r.kept_sha256) == w
 
 
+def test_planted_passages_are_cut_from_400_bytes_on_whatever_their_words(spark, tmp_path):
+    draw = random.Random(11)
+    text = lambda n: " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 6))) for _ in range(n))
+    rows = [(text(draw.randint(60, 300)), 0) for _ in range(30)]
+    for size in (320, 399, 400, 401, 2000):
+        for _ in range(4):
+            passage = text(size)[:size].rstrip().ljust(size, "x")
+            assert len(passage.split()) > 50
+            rows += [(f"{text(60)} {k}{passage}{k} {text(60)}", size if size >= 400 else 0) for k in range(3)]  # unlike neighbours
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in QUERIES["op3_repeated_passages"](spark, str(tmp_path)).collect()}
+    assert got == {i: (n, int(n > 0)) for i, (_, n) in enumerate(rows)}
+
+
 def test_texts_without_repeats_pass_one_python_worker(spark):
     docs = spark.createDataFrame([(1, "x" * 100), (2, "é" * 300), (3, None)], "doc_id long, text string").coalesce(1)
     out = remove_repeats(docs, length=60, depth=20)
