@@ -8,6 +8,7 @@ from folioscan.functions import html as H
 from folioscan.operators import graph as G
 from folioscan.operators import joins as J
 from folioscan.operators.gates import manifest_diff
+from folioscan.sources import readers as RD
 
 
 def test_only_reached_files_are_parsed(spark, monkeypatch):
@@ -71,3 +72,30 @@ def test_a_catalogue_holds_by_a_condition(spark):
     skip = spark.createDataFrame([(3,)], "doc long")
     out = J.dangling_refs(edges, nodes, "ref", "node", "doc", skip, F.col("doc") <= F.col("least"))
     assert {(r.doc, r.ref): r.refs for r in out.collect()} == {(2, 7): 1, (2, 8): 1, (2, None): 1, (None, 7): 1}
+
+
+def test_files_beside_folders_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
+    from py4j.java_gateway import GatewayClient
+
+    send, calls = GatewayClient.send_command, []
+    monkeypatch.setattr(GatewayClient, "send_command", lambda self, *a, **k: calls.append(1) or send(self, *a, **k))
+
+    def asked(root, files):
+        for place in ("", "x", "x/a[1]{b}*", "dist/y", "z.html"):
+            (root / place).mkdir(parents=True, exist_ok=True)
+            for i in range(files):
+                (root / place / f"{i}.html").write_text("<p>")
+        calls.clear()
+        return sorted(f.split(str(root), 1)[1] for f in RD.corpus_folders(spark, str(root))), len(calls)
+
+    folders, few = asked(tmp_path / "few", 1)
+    again, many = asked(tmp_path / "many", 200)
+    assert folders == again == ["", "/x", "/x/a[1]{b}*", "/z.html"]
+    assert many < few + 100
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(2100):
+        (tmp_path / f"{i}.html").write_text("<p>")
+    found = RD.corpus_scan(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and found.count() == 2100
